@@ -2,13 +2,19 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import quality_rules
+from . import quality_rules, token_output
 from .common import table
 
 
+def op1_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return token_output.encode_and_read(docs, public_tokenizers.path("word_bpe_49k.json"), end_id=2)
+
+
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     kept = quality_rules.apply_policy(quality_rules.ledger(docs))
@@ -22,5 +28,8 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {"op4_quality_rules": op4_quality_rules}
+QUERIES = {
+    "op1_token_output": op1_token_output,
+    "op4_quality_rules": op4_quality_rules,
+}
 ORACLES: dict[str, str] = {}
