@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import quality_rules, token_output
+from . import mixing, quality_rules, token_output, warc
 from .common import table
 
 
@@ -28,8 +28,44 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+#: Targets of the mixture: one very large source is held to a fifth, three are raised, the rest share what is left.
+TARGETS = {"src0": 0.2, "src1": 0.1, "src2": 0.1, "src3": 0.1, None: 0.5}
+
+
+def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
+    return mixing.mix(docs, TARGETS, seed=5).select("doc_id", "source", "copy", "shuffle_key", F.length("text").cast("long").alias("n_chars"))
+
+
+OP5_SQL = """
+WITH RECURSIVE d AS (
+  SELECT doc_id, source, text, CASE WHEN source IN ('src0', 'src1', 'src2', 'src3') THEN source END AS g,
+         CAST(('0x' || substr(md5('5:' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, 13)) AS BIGINT) / 4503599627370496.0 AS u
+  FROM documents),
+mass AS (SELECT g, sum(coalesce(length(text), 0)) AS n FROM d GROUP BY g HAVING sum(coalesce(length(text), 0)) > 0),
+target(g, w) AS (VALUES ('src0', 0.2::DOUBLE), ('src1', 0.1), ('src2', 0.1), ('src3', 0.1), (NULL, 0.5)),
+rate AS (
+  SELECT m.g, (SELECT sum(n) FROM mass)::DOUBLE * t.w
+              / (SELECT sum(t2.w) FROM mass m2 JOIN target t2 ON m2.g IS NOT DISTINCT FROM t2.g) / m.n AS r
+  FROM mass m JOIN target t ON m.g IS NOT DISTINCT FROM t.g),
+cdf(g, r, k, p, total) AS (
+  SELECT g, r, 0, exp(-r), exp(-r) FROM rate
+  UNION ALL SELECT g, r, k + 1, p * r / (k + 1), total + p * r / (k + 1) FROM cdf WHERE k < 200)
+SELECT d.doc_id, d.source, CAST(c.k + 1 AS INTEGER) AS copy,
+       md5('5:' || coalesce(CAST(d.doc_id AS VARCHAR), '') || ':' || CAST(c.k + 1 AS VARCHAR)) AS shuffle_key,
+       CAST(length(d.text) AS BIGINT) AS n_chars
+FROM d JOIN cdf c ON c.g IS NOT DISTINCT FROM d.g AND c.total <= d.u AND (c.k < c.r + 1 OR c.p > 1e-15)
+"""
+
+
+def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(table(spark, sf_dir, "pages"), min_bytes=0)
+
+
 QUERIES = {
     "op1_token_output": op1_token_output,
     "op4_quality_rules": op4_quality_rules,
+    "op5_mixing": op5_mixing,
+    "op10_warc": op10_warc,
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op5_mixing": OP5_SQL}
