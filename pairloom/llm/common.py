@@ -57,3 +57,12 @@ def words(col):
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def own_buffers(texts):
+    """An Arrow text column without nulls (empty instead) and not a view into a longer one, which some of Arrow's text
+    kernels misread."""
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    return pc.fill_null(texts, "").cast(pa.large_string()).take(pa.array(range(len(texts)), pa.int64()))

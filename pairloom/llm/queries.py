@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, quality_rules, token_output, warc
+from . import mixing, near_dedup, quality_rules, token_output, warc
 from .common import table
 
 
@@ -15,6 +15,10 @@ def op1_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_output.encode_and_read(docs, public_tokenizers.path("word_bpe_49k.json"), end_id=2)
 
 
+def op2_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_duplicates(table(spark, sf_dir, "documents"), size=85, of=100)
+
+
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     kept = quality_rules.apply_policy(quality_rules.ledger(docs))
@@ -64,6 +68,7 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_token_output": op1_token_output,
+    "op2_near_dedup": op2_near_dedup,
     "op4_quality_rules": op4_quality_rules,
     "op5_mixing": op5_mixing,
     "op10_warc": op10_warc,
