@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, near_dedup, quality_rules, token_output, warc
+from . import mixing, near_dedup, pii, quality_rules, token_output, warc
 from .common import table
 
 
@@ -41,6 +41,10 @@ def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(docs, TARGETS, seed=5).select("doc_id", "source", "copy", "shuffle_key", F.length("text").cast("long").alias("n_chars"))
 
 
+def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.detect(table(spark, sf_dir, "documents"))
+
+
 OP5_SQL = """
 WITH RECURSIVE d AS (
   SELECT doc_id, source, text, CASE WHEN source IN ('src0', 'src1', 'src2', 'src3') THEN source END AS g,
@@ -71,6 +75,7 @@ QUERIES = {
     "op2_near_dedup": op2_near_dedup,
     "op4_quality_rules": op4_quality_rules,
     "op5_mixing": op5_mixing,
+    "op6_pii": op6_pii,
     "op10_warc": op10_warc,
 }
 ORACLES: dict[str, str] = {"op5_mixing": OP5_SQL}
