@@ -16,6 +16,8 @@ from __future__ import annotations
 import os
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -23,7 +25,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import shared_path
+from .common import own_buffers, shared_path
 
 LAYOUT = {
     "compression": "zstd",
@@ -38,7 +40,7 @@ LAYOUT = {
 }
 SCHEMA = "doc_id long, part int, local_start long, n_tokens long, tokens array<int>"
 #: Texts encoded at once, and words a worker remembers: bounds of memory, without effect on results.
-BATCH_BYTES, MEMORY_WORDS, SENT_WORDS = 8 << 20, 300_000, 20_000
+BATCH_BYTES, MEMORY_WORDS, SENT_WORDS = 4 << 20, 400_000, 200
 
 
 class WordEncoder:
@@ -73,19 +75,16 @@ class WordEncoder:
         """Offsets and ids of all texts."""
         # A full stop or comma after an ASCII letter starts a new piece for the tokenizer in any case, and it lower-cases:
         # both done first leave fewer distinct words.
-        plain = pc.ascii_lower(pc.fill_null(texts, "").cast(pa.large_string()))
+        plain = pc.ascii_lower(own_buffers(texts))
         split = pc.ascii_split_whitespace(pc.replace_substring_regex(plain, r"([a-z])([.,])", r"\1 \2"))
         bounds = split.offsets.to_numpy(zero_copy_only=False).astype(np.int64)
         coded = split.flatten().dictionary_encode()
         words, known = coded.dictionary.to_pylist(), self.known
         new = [w for w in words if w not in known]
         fresh = dict(zip(new, self.ids(new), strict=True))
-        get = {**known, **fresh} if len(known) < len(fresh) else None
-        parts = [get[w] for w in words] if get else [fresh[w] if w in fresh else known[w] for w in words]
-        if len(known) + len(fresh) > MEMORY_WORDS:
-            known.clear()
-        if len(fresh) <= MEMORY_WORDS:
-            known.update(fresh)
+        parts = [known[w] if w in known else fresh[w] for w in words]
+        if room := MEMORY_WORDS - len(known):  # frequent words come early
+            known.update(islice(fresh.items(), room))
         if self.end_id is not None:
             parts.append(np.array([self.end_id], np.int32).tobytes())
         lengths = np.fromiter(map(len, parts), np.int64, len(parts)) // 4
@@ -102,6 +101,12 @@ class WordEncoder:
         return ends[bounds], ids
 
 
+@lru_cache(maxsize=2)
+def encoder_of(path: str, end_id: int | None, separator: str) -> WordEncoder:
+    """One for each worker process: later tasks find the words of earlier ones."""
+    return WordEncoder(path, end_id, separator)
+
+
 def _slices(batch: pa.RecordBatch, column: str) -> Iterator[pa.RecordBatch]:
     """The batch in pieces of about BATCH_BYTES of text."""
     size = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False))
@@ -122,7 +127,7 @@ def write_tokens(df: DataFrame, tokenizer: str, end_id: int, path: str, *, id_co
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        part, start, encoder = TaskContext.get().partitionId(), 0, WordEncoder(tokenizer, end_id, separator)
+        part, start, encoder = TaskContext.get().partitionId(), 0, encoder_of(tokenizer, end_id, separator)
         for whole in batches:
             for batch in _slices(whole, "text"):
                 ends, ids = encoder.encode(batch.column("text"))
