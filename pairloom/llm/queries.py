@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, mixing, near_dedup, pii, quality_rules, token_output, warc
+from . import byte_bpe, katz_lm, mixing, near_dedup, pii, quality_rules, token_output, warc
 from .common import table
 
 
@@ -50,6 +50,10 @@ def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.detect(table(spark, sf_dir, "documents"))
 
 
+def op7_katz_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return katz_lm.train_and_score(table(spark, sf_dir, "documents"), order=2)
+
+
 OP5_SQL = """
 WITH RECURSIVE d AS (
   SELECT doc_id, source, text, CASE WHEN source IN ('src0', 'src1', 'src2', 'src3') THEN source END AS g,
@@ -82,6 +86,7 @@ QUERIES = {
     "op4_quality_rules": op4_quality_rules,
     "op5_mixing": op5_mixing,
     "op6_pii": op6_pii,
+    "op7_katz_lm": op7_katz_lm,
     "op10_warc": op10_warc,
 }
 ORACLES: dict[str, str] = {"op5_mixing": OP5_SQL}
