@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, katz_lm, mixing, near_dedup, pii, quality_rules, token_output, warc
+from . import byte_bpe, katz_lm, mixing, near_dedup, pii, quality_classifier, quality_rules, token_output, warc
 from .common import table
 
 
@@ -54,6 +54,11 @@ def op7_katz_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return katz_lm.train_and_score(table(spark, sf_dir, "documents"), order=2)
 
 
+def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return quality_classifier.score_documents(docs, quality_classifier.fit(docs, table(spark, sf_dir, "labels")))
+
+
 OP5_SQL = """
 WITH RECURSIVE d AS (
   SELECT doc_id, source, text, CASE WHEN source IN ('src0', 'src1', 'src2', 'src3') THEN source END AS g,
@@ -87,6 +92,7 @@ QUERIES = {
     "op5_mixing": op5_mixing,
     "op6_pii": op6_pii,
     "op7_katz_lm": op7_katz_lm,
+    "op8_quality_classifier": op8_quality_classifier,
     "op10_warc": op10_warc,
 }
 ORACLES: dict[str, str] = {"op5_mixing": OP5_SQL}
