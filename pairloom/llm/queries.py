@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, katz_lm, mixing, near_dedup, pii, quality_classifier, quality_rules, token_output, warc
+from . import bm25, byte_bpe, katz_lm, mixing, near_dedup, pii, quality_classifier, quality_rules, token_output, warc
 from .common import table
 
 
@@ -80,6 +80,29 @@ FROM d JOIN cdf c ON c.g IS NOT DISTINCT FROM d.g AND c.total <= d.u AND (c.k <
 """
 
 
+def op9_bm25_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Queries: every document whose id is divisible by 100, against all documents."""
+    return bm25.top_k(table(spark, sf_dir, "documents"), F.col("doc_id") % 100 == 0, k=10)
+
+
+OP9_SQL = """
+WITH w AS (
+  SELECT doc_id, unnest(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[ \t\n\x0B\f\r]+')) AS word
+  FROM documents),
+p AS (SELECT doc_id, word, count(*) AS tf FROM w WHERE word <> '' GROUP BY ALL),
+l AS (SELECT doc_id, sum(tf) AS n FROM p GROUP BY doc_id),
+s AS (SELECT count(*) AS n, (SELECT sum(n) FROM l) / count(*) AS mean FROM documents),
+f AS (SELECT word, count(*) AS df FROM p GROUP BY word),
+r AS (
+  SELECT q.doc_id AS query_id, p.doc_id,
+         round(sum(ln(1 + (s.n - f.df + 0.5) / (f.df + 0.5)) * p.tf * 2.2 / (p.tf + 1.2 * (0.25 + 0.75 * l.n / s.mean))), 6) AS score
+  FROM p q JOIN p ON p.word = q.word JOIN f ON f.word = q.word JOIN l ON l.doc_id = p.doc_id CROSS JOIN s
+  WHERE q.doc_id % 100 = 0 GROUP BY ALL),
+o AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank FROM r)
+SELECT query_id, rank, doc_id, score FROM o WHERE rank <= 10
+"""
+
+
 def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(table(spark, sf_dir, "pages"), min_bytes=0)
 
@@ -93,6 +116,7 @@ QUERIES = {
     "op6_pii": op6_pii,
     "op7_katz_lm": op7_katz_lm,
     "op8_quality_classifier": op8_quality_classifier,
+    "op9_bm25_search": op9_bm25_search,
     "op10_warc": op10_warc,
 }
-ORACLES: dict[str, str] = {"op5_mixing": OP5_SQL}
+ORACLES: dict[str, str] = {"op5_mixing": OP5_SQL, "op9_bm25_search": OP9_SQL}
