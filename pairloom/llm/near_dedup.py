@@ -5,7 +5,8 @@
 2. Multi-index Hamming join: the 40 symbols are cut into 10 chunks of 4. Signatures that differ in at most 19 symbols
    have a chunk with at most 1 error (pigeonhole: 10 chunks with 2 errors each would make 20). The allowed error is
    enumerated: each chunk gives 4 keys, each with one symbol left out. So every pair under the distance threshold shares
-   a key. Two sets of similarity 0.85 differ in 20 symbols or more with probability 2e-7.
+   a key; so do most pairs beyond, which are accepted up to 24 errors. Two sets of similarity 0.85 share no key or are not
+   accepted with probability 1e-9, of 0.8 with 5e-8.
 3. Groups of nodes under one key. Only what is linked to what matters, not each pair, so first two rounds compare members
    with one leader of their group, and what links is merged. Then the groups whose members are still of several
    components are compared pair by pair in blocks of bounded size, but emitting only pairs of different components that
@@ -34,7 +35,8 @@ from pyspark.sql import functions as F
 from .common import own_buffers, written
 from .components import components
 
-K, CHUNK, THRESHOLD, BLOCK = 40, 4, 19, 1024
+#: Pairs up to THRESHOLD errors share a key for certain; of pairs that do, those up to ACCEPT go on to be confirmed.
+K, CHUNK, THRESHOLD, ACCEPT, BLOCK = 40, 4, 19, 24, 1024
 _M = (1 << 64) - 1
 
 
@@ -144,13 +146,13 @@ def _key_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _close(batches: Iterator[pa.RecordBatch], size: int, of: int) -> Iterator[pa.RecordBatch]:
-    """Keeps the pairs whose signatures differ in at most THRESHOLD symbols and whose sizes allow a link."""
+    """Keeps the pairs whose signatures differ in at most ACCEPT symbols and whose sizes allow a link."""
     for b in batches:
         if not b.num_rows:
             continue
         x, y = (np.frombuffer(b"".join(b.column(c).to_pylist()), np.uint16).reshape(-1, K) for c in ("sig_a", "sig_b"))
         na, nb = (b.column(c).to_numpy() for c in ("n_a", "n_b"))
-        keep = ((x != y).sum(1) <= THRESHOLD) & (of * np.minimum(na, nb) >= size * np.maximum(na, nb))
+        keep = ((x != y).sum(1) <= ACCEPT) & (of * np.minimum(na, nb) >= size * np.maximum(na, nb))
         yield pa.RecordBatch.from_arrays([b.column("a").filter(pa.array(keep)), b.column("b").filter(pa.array(keep))], names=["a", "b"])
 
 
@@ -167,7 +169,7 @@ def _block_pairs(size: int, of: int):
         for r in x.tolist():
             ok = y[(comp[y] != comp[r]) & (of * np.minimum(n[y], n[r]) >= size * np.maximum(n[y], n[r]))]
             if len(ok):
-                ok = ok[(sig[ok] != sig[r]).sum(1) <= THRESHOLD]
+                ok = ok[(sig[ok] != sig[r]).sum(1) <= ACCEPT]
                 out_a.append(np.full(len(ok), node[r]))
                 out_b.append(node[ok])
         a, b = (np.concatenate(v).astype(np.int64) if v else np.zeros(0, np.int64) for v in (out_a, out_b))
@@ -246,3 +248,11 @@ def _label(groups: DataFrame, comp: DataFrame) -> DataFrame:
 def _open(labelled: DataFrame) -> DataFrame:
     """Keys whose members are of more than one component."""
     return labelled.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo < hi").select("key")
+
+
+def deduplicated(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", size: int = 80, of: int = 100) -> DataFrame:
+    """The rows of docs whose id is the smallest of its component, and those without an id, with docs' own columns. Rows of
+    one id stay or go together."""
+    found = near_duplicates(docs, id_col=id_col, text_col=text_col, size=size, of=of)
+    gone = found.filter(~F.col("kept") & F.col("doc_id").isNotNull()).select(F.col("doc_id").alias("_gone")).distinct()
+    return docs.join(gone, F.col(f"`{id_col}`").cast("long") == F.col("_gone"), "left_anti")
