@@ -8,9 +8,11 @@
    a key; so do most pairs beyond, which are accepted up to 24 errors. Two sets of similarity 0.85 share no key or are not
    accepted with probability 1e-9, of 0.8 with 5e-8.
 3. Groups of nodes under one key. Only what is linked to what matters, not each pair, so first two rounds compare members
-   with one leader of their group, and what links is merged. Then the groups whose members are still of several
-   components are compared pair by pair in blocks of bounded size, but emitting only pairs of different components that
-   pass the distance threshold and the sizes' bound. No pair that a link could come from is left out.
+   with one leader of their group, and what links is merged. Members of groups that still have several components are dealt
+   anew, by the rarest shingles of their sets (prefix filter: sets that link share one of them), which parts copies that
+   have each been changed much, once more compared with a leader, and at last pair by pair in blocks of bounded size, from
+   which only pairs of different components go on that are within the distance and overlap enough by halves of the hashes. No pair that a link could come
+   from is left out.
 4. Links are confirmed on the whole sets, and components taken over them.
 
 Hot keys (a crowd of near copies, a passage that many share): minima are aggregates, joins can be split, blocks are
@@ -157,25 +159,37 @@ def _close(batches: Iterator[pa.RecordBatch], size: int, of: int) -> Iterator[pa
 
 
 def _block_pairs(size: int, of: int):
-    def pairs(left: pa.Table) -> pa.Table:
-        """The close pairs of a block pair of one group: members of side 0 against those of side 1, or a block in itself."""
-        node, comp, n, side = (left.column(c).to_numpy() for c in ("node", "comp", "n", "side"))
-        sig = np.frombuffer(b"".join(left.column("sig").to_pylist()), np.uint16).reshape(-1, K)
-        x = np.flatnonzero(side == 0)
-        y = np.flatnonzero(side == 1) if (side == 1).any() else x
-        if left.column("i")[0].as_py() != left.column("j")[0].as_py() and not (side == 1).any():
-            y = x[:0]
+    def pairs(t: pa.Table) -> pa.Table:
+        """The pairs of a block pair of one group that may link: members of side 0 against those of side 1, or a block in
+        itself. After distance and sizes, sets are compared by halves of their hashes, which never finds less in common."""
+        node, comp, n, side = (t.column(c).to_numpy() for c in ("node", "comp", "n", "side"))
+        lists = t.column("halves").combine_chunks()
+        _, codes = np.unique(lists.flatten().to_numpy(), return_inverse=True)
+        ends = np.cumsum(np.array(lists.value_lengths().to_numpy(), np.int64))
+        starts = np.concatenate([[0], ends[:-1]])
+        sig = np.frombuffer(b"".join(t.column("sig").to_pylist()), np.uint16).reshape(-1, K)
+        inner = t.column("i")[0].as_py() == t.column("j")[0].as_py()
+        x, y = (np.arange(len(node)),) * 2 if inner else (np.flatnonzero(side == 0), np.flatnonzero(side == 1))
+        mark = np.zeros(codes.max() + 1 if len(codes) else 1, bool)
         out_a, out_b = [], []
         for r in x.tolist():
             ok = y[(comp[y] != comp[r]) & (of * np.minimum(n[y], n[r]) >= size * np.maximum(n[y], n[r]))]
+            if inner:
+                ok = ok[ok > r]
             if len(ok):
                 ok = ok[(sig[ok] != sig[r]).sum(1) <= ACCEPT]
+            if len(ok):
+                mark[codes[starts[r] : ends[r]]] = True
+                length = ends[ok] - starts[ok]
+                to = np.cumsum(length)
+                hit = mark[codes[np.repeat(starts[ok] - to + length, length) + np.arange(to[-1])]]
+                common = np.add.reduceat(hit, to - length, dtype=np.int64)
+                mark[codes[starts[r] : ends[r]]] = False
+                ok = ok[of * common >= size * (n[ok] + n[r] - common)]
                 out_a.append(np.full(len(ok), node[r]))
                 out_b.append(node[ok])
         a, b = (np.concatenate(v).astype(np.int64) if v else np.zeros(0, np.int64) for v in (out_a, out_b))
-        low, high = np.minimum(a, b), np.maximum(a, b)
-        both = np.unique(np.stack([low, high]), axis=1) if len(low) else np.zeros((2, 0), np.int64)
-        return pa.table({"a": pa.array(both[0]), "b": pa.array(both[1])})
+        return pa.table({"a": pa.array(np.minimum(a, b)), "b": pa.array(np.maximum(a, b))})
 
     return pairs
 
@@ -188,6 +202,17 @@ def confirmed(pairs: DataFrame, sets: DataFrame, size: int, of: int) -> DataFram
     return pairs.join(x, "b").join(y, "a").filter(of * both >= size * (F.size("sa") + F.size("sb") - both)).select("a", "b")
 
 
+def _prefixes(nodes: DataFrame, sets: DataFrame, size: int, of: int) -> DataFrame:
+    """key, node: the rarest shingles of each node, as many as a set of the similarity asked for cannot lack. With shingles
+    in the order of their frequency among these nodes, two sets that link share one of them. Shingles of a single node come
+    first and lead nowhere, so a copy with many changes of its own is left with few or none."""
+    rows = sets.join(nodes, "node").select("node", "n", F.explode("shingles").alias("key"))
+    often = rows.groupBy("key").agg(F.count("*").alias("df")).filter("df > 1")
+    mine = rows.join(often, "key").groupBy("node", "n").agg(F.sort_array(F.collect_list(F.struct("df", "key"))).alias("s"))
+    n = F.col("n") - F.floor((F.col("n") * size + (of - 1)) / of) + 1 - (F.col("n") - F.size("s"))
+    return mine.withColumn("k", n.cast("int")).filter("k > 0").select("node", F.explode(F.transform(F.slice("s", F.lit(1), F.col("k")), lambda x: x["key"])).alias("key"))
+
+
 def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", size: int = 85, of: int = 100) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for each row of docs: rows are linked if of * |A and B| >= size * |A or B|."""
     spark = docs.sparkSession
@@ -221,15 +246,25 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     links = links.unionByName(more)
     comp, _ = written(components(links), "components")
 
-    # What is left: groups of several components, compared whole.
-    labelled = _label(groups.select("key", "node", "c"), comp)
-    rest, _ = written(labelled.join(_open(labelled), "key").join(live, "node"), "open")
+    # What is left: members of groups of several components, and of their sets the prefixes.
+    labelled = _label(groups.select("key", "node"), comp)
+    left = labelled.join(_open(labelled), "key").select("node").distinct()
+    rare, _ = written(_prefixes(left.join(live.select("node", "n"), "node"), sets, size, of), "prefixes")
+    labelled = _label(rare, comp)
+    third = labelled.join(labelled.groupBy("key").agg(F.min("node").alias("a"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo < hi").select("key", "a"), "key")
+    more, _ = written(confirmed(close(third.select("a", F.col("node").alias("b"))), sets, size, of), "confirmed")
+    links = links.unionByName(more)
+    comp, _ = written(components(links), "components")
+
+    # The rest is compared whole.
+    labelled = _label(rare, comp)
+    counts = labelled.groupBy("key").agg(F.count("*").alias("c"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo < hi").select("key", "c")
+    halves = sets.select("node", F.transform("shingles", lambda x: F.shiftright(x, 32).cast("int")).alias("halves"))
+    rest = labelled.join(counts, "key").join(live, "node").join(halves, "node")
     blocks = F.ceil(F.col("c") / BLOCK).cast("int")
     mine = F.pmod(F.xxhash64("node"), blocks).cast("int")
-    rest = rest.withColumn("blocks", blocks).withColumn("mine", mine)
-    dealt = rest.select(
-        "key", "node", "comp", "n", "sig", "mine", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
-    ).select("key", "node", "comp", "n", "sig", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), (F.col("mine") > F.col("other")).cast("int").alias("side"))
+    rest = rest.withColumn("mine", mine).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    dealt = rest.select("key", "node", "comp", "n", "sig", "halves", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), (F.col("mine") > F.col("other")).cast("int").alias("side"))
     residual = dealt.groupBy("key", "i", "j").applyInArrow(_block_pairs(size, of), "a long, b long").distinct()
     last, _ = written(confirmed(residual, sets, size, of), "confirmed")
     comp, _ = written(components(links.unionByName(last)), "components")
