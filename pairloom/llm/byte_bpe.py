@@ -11,8 +11,8 @@ in a map of Spark's is a linear search). How the pieces travel:
 
 So neither the occurrences of pieces nor the texts are shuffled, no dictionary of the corpus is held anywhere, and a piece
 of any frequency is one row for each block. Blocks are named by partition and place; should an unstable input be dealt
-otherwise when it is read again, pieces that the dictionary lacks are merged on the spot. Pieces of over LONG bytes, for
-which a fold would take the square of their length, are merged with a heap.
+otherwise when it is read again, pieces that the dictionary lacks are merged on the spot. Pieces of more than LONG / 4
+signs, for which a fold would take the square of their length, are left to that, with a heap.
 
 Decoding concatenates the ids' byte strings.
 
@@ -26,6 +26,7 @@ import base64
 import hashlib
 import heapq
 import json
+import re
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
@@ -37,9 +38,11 @@ from pyspark.sql import functions as F
 
 from .common import shared_path
 
-LONG, BUCKETS, BLOCK_BYTES, STEP_BYTES = 256, 8192, 24 << 20, 4 << 20
+LONG, BUCKETS, BLOCK_BYTES, STEP_BYTES = 256, 16384, 24 << 20, 4 << 20
 #: White space as the tokenizer's regular expressions have it.
-SPACE = r"\t-\r \x85\xa0  -     　"
+SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+#: Letters and numbers below U+0250, where the standard library's faster expressions can stand in.
+LATIN_LETTERS, LATIN_NUMBERS = r"A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\u024f", r"0-9\xb2\xb3\xb9\xbc-\xbe"
 
 
 @lru_cache(maxsize=2)
@@ -51,10 +54,18 @@ def read_ranks(path: str) -> dict[bytes, int]:
 
 @lru_cache(maxsize=2)
 def splitter(pattern: str):
+    """The list of a text's pieces. Both expressions are the pattern's with its classes spelled out."""
     import regex
 
     own = pattern.replace(r"[^\s", f"[^{SPACE}").replace(r"\S", f"[^{SPACE}]").replace(r"\s", f"[{SPACE}]")
-    return regex.compile(own).findall
+    every = regex.compile(own).findall
+    latin = re.compile(own.replace(r"[^" + SPACE + r"\p{L}\p{N}]", f"[^{SPACE}{LATIN_LETTERS}{LATIN_NUMBERS}]").replace(r"\p{L}", f"[{LATIN_LETTERS}]").replace(r"\p{N}", f"[{LATIN_NUMBERS}]")).findall
+    beyond = re.compile("[\u0250-\U0010ffff]").search
+
+    def find(text: str) -> list[str]:
+        return every(text) if beyond(text) else latin(text)
+
+    return find
 
 
 def merge(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
@@ -163,7 +174,7 @@ def _list_pieces(pattern: str):
             for pieces in _pieces_of(batch, find):
                 seen.update(pieces)
             if last:
-                words = list(seen)
+                words = [w for w in seen if len(w) <= LONG // 4]
                 for k in range(0, len(words), 50_000):
                     part = words[k : k + 50_000]
                     yield pa.RecordBatch.from_arrays([pa.array([block] * len(part), pa.int64()), pa.array(part, pa.string())], names=["block", "word"])
@@ -172,58 +183,27 @@ def _list_pieces(pattern: str):
     return rows
 
 
-def _merge_long(path: str):
-    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ranks = read_ranks(path)
-        for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column("word"), pa.array([merge(w.encode(), ranks) for w in b.column("word").to_pylist()], pa.list_(pa.int32()))], names=["word", "ids"])
-
-    return rows
-
-
-def encode_words(words: DataFrame, ranks_path: str) -> DataFrame:
-    """word, ids for distinct words."""
-    size = F.octet_length("word")
-    short = words.filter(size <= LONG).select("word", fold_merges(F.col("word"), rank_literal(read_ranks(ranks_path))).alias("ids"))
-    return short.unionByName(words.filter(size > LONG).select("word").mapInArrow(_merge_long(ranks_path), "word string, ids array<int>"))
-
-
-class Gather:
-    """Byte strings by number, concatenated for arrays of numbers."""
-
-    def __init__(self, strings: list[bytes]):
-        self.size = np.fromiter(map(len, strings), np.int64, len(strings))
-        self.start = np.cumsum(self.size) - self.size
-        self.data = np.frombuffer(b"".join(strings), np.uint8)
-
-    def __call__(self, ids: np.ndarray) -> tuple[memoryview, np.ndarray]:
-        """The bytes of all ids, and the end of each."""
-        n = self.size[ids]
-        ends = np.cumsum(n)
-        if not len(ids):
-            return memoryview(b""), ends
-        return memoryview(self.data[np.repeat(self.start[ids] - ends + n, n) + np.arange(ends[-1])]), ends
-
-
 @lru_cache(maxsize=2)
-def decoders(path: str) -> tuple[Gather, Gather]:
-    """From ids to their bytes, and to their decimals, each with a comma."""
+def decoders(path: str) -> tuple[list[bytes], list[bytes]]:
+    """Byte strings, and decimals, of the ids."""
     ranks = read_ranks(path)
     pieces = [b""] * (max(ranks.values()) + 1)
     for piece, rank in ranks.items():
         pieces[rank] = piece
-    return Gather(pieces), Gather([b"%d," % k for k in range(len(pieces))])
+    return pieces, [b"%d" % k for k in range(len(pieces))]
 
 
-def decode(ids: np.ndarray, path: str) -> bytes:
-    return bytes(decoders(path)[0](ids)[0])
+def decode(ids: list[int], path: str) -> bytes:
+    return b"".join(map(decoders(path)[0].__getitem__, ids))
 
 
 def dictionaries(docs: DataFrame, pattern: str, ranks_path: str) -> str:
     """The blocks' dictionaries, in a written table with a folder for each block. Returns its path."""
-    listed = docs.select("text").mapInArrow(_list_pieces(pattern), "block long, word string").repartition("word")
-    ids = encode_words(listed.select("word").distinct(), ranks_path)
-    joined = listed.join(ids, "word").select("block", "word", "ids")
+    listed = docs.select("text").mapInArrow(_list_pieces(pattern), "block long, word string")
+    # One row for each piece and some thousand blocks that have it, which bounds the row of the commonest piece.
+    words = listed.groupBy("word", F.shiftright("block", 36).alias("part")).agg(F.collect_list("block").alias("blocks"))
+    coded = words.select("blocks", "word", fold_merges(F.col("word"), rank_literal(read_ranks(ranks_path))).alias("ids"))
+    joined = coded.select(F.explode("blocks").alias("block"), "word", "ids")
     path = shared_path(docs.sparkSession, "bpe")
     joined.repartition("block").write.option("compression", "zstd").partitionBy("block").parquet(path)
     return path
@@ -253,29 +233,28 @@ def encode_documents(docs: DataFrame, ranks_path: str, pattern: str, *, id_col:
     path = dictionaries(docs, pattern, ranks_path)
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ranks, find, (to_bytes, to_decimals) = read_ranks(ranks_path), splitter(pattern), decoders(ranks_path)
+        ranks, find, (pieces_of_ids, decimals) = read_ranks(ranks_path), splitter(pattern), decoders(ranks_path)
         at, known = None, {}
         for block, batch, _ in _blocks(batches):
             if block != at:
                 at, known = block, _dictionary(path, block)
-            coded = []
+            coded, sums, back = [], [], []
             for pieces in _pieces_of(batch, find):
                 try:
-                    coded.append(b"".join(map(known.__getitem__, pieces)))
+                    code = b"".join(map(known.__getitem__, pieces))
                 except KeyError:
                     for p in pieces:
                         if p not in known:
                             known[p] = np.array(merge(p.encode(), ranks), "<i4").tobytes()
-                    coded.append(b"".join(map(known.__getitem__, pieces)))
+                    code = b"".join(map(known.__getitem__, pieces))
+                ids = np.frombuffer(code, "<i4").tolist()
+                coded.append(code)
+                sums.append(hashlib.sha256(b",".join(map(decimals.__getitem__, ids))).hexdigest())
+                back.append(hashlib.sha256(b"".join(map(pieces_of_ids.__getitem__, ids))).hexdigest())
             n = np.fromiter(map(len, coded), np.int64, len(coded)) // 4
             ids = np.frombuffer(b"".join(coded), "<i4")
             ends = np.concatenate([[0], np.cumsum(n)])
-            sums = []
-            for gather, cut in ((to_decimals, 1), (to_bytes, 0)):
-                data, to = gather(ids)
-                edge = np.concatenate([[0], to])[ends].tolist()
-                sums.append(pa.array([hashlib.sha256(data[a : max(a, b - cut)]).hexdigest() for a, b in zip(edge[:-1], edge[1:], strict=True)], pa.string()))
-            cols, names = [batch.column("doc_id"), pa.array(n), *sums], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
+            cols, names = [batch.column("doc_id"), pa.array(n), pa.array(sums, pa.string()), pa.array(back, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
             if with_ids:
                 cols.append(pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(ids)))
                 names.append("ids")
