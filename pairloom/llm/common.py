@@ -2,49 +2,19 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.storage import remove, shared_path, shared_root, written
+
+__all__ = ["BREAK_CHARS", "LOWER", "UPPER", "WORD_BREAK", "ascii_lower", "own_buffers", "remove", "shared_path", "shared_root", "table", "words", "written"]
+
 #: Fixed values of the contracts: a word is a run of characters other than space and \t \n \v \f \r.
 WORD_BREAK = r"[\x20\x09-\x0D]+"
 BREAK_CHARS = " \t\n\x0b\x0c\r"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
-def shared_root(spark: SparkSession) -> str:
-    """The folder that driver and executors share. Only where the session names none (tests) is a local one set."""
-    conf = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if conf:
-        return conf.rstrip("/")
-    known = spark.sparkContext._jsc.sc().getCheckpointDir()
-    if known.isDefined():
-        return known.get().rstrip("/")
-    root = "file://" + tempfile.mkdtemp(prefix="pairloom-")
-    spark.sparkContext.setCheckpointDir(root)
-    return root
-
-
-def shared_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_root(spark)}/pairloom/{name}-{uuid.uuid4().hex}"
-
-
-def remove(spark: SparkSession, path: str) -> None:
-    jvm, conf = spark._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(conf).delete(p, True)
-
-
-def written(df: DataFrame, name: str, **options: str) -> tuple[DataFrame, str]:
-    """df as a Parquet table in the shared folder: cuts lineage and survives the loss of executors."""
-    spark = df.sparkSession
-    path = shared_path(spark, name)
-    df.write.options(**{"compression": "zstd", **options}).parquet(path)
-    return spark.read.schema(df.schema).parquet(path), path
-
-
 def ascii_lower(col):
     """Lower-cases A-Z only."""
     return F.translate(col, UPPER, LOWER)

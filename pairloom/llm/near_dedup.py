@@ -34,8 +34,9 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.components import components
 from .common import own_buffers, written
-from .components import components
+
 
 #: Pairs up to THRESHOLD errors share a key for certain; of pairs that do, those up to ACCEPT go on to be confirmed.
 K, CHUNK, THRESHOLD, ACCEPT, BLOCK = 40, 4, 19, 24, 1024

@@ -5,7 +5,7 @@ import numpy as np
 import pyarrow as pa
 
 from pairloom.llm import near_dedup
-from pairloom.llm.components import components
+from pairloom.operators.components import components
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
