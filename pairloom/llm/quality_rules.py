@@ -97,14 +97,17 @@ def ledger(df: DataFrame, text: str = "text", rules: tuple[Rule, ...] = RULES) -
     own = df.columns
     aside = df.select(*(F.col(f"`{c}`") for c in own if c not in ("measures", "failures")), F.col(f"`{text}`").alias("_text"))
     kept = [c for c in aside.columns if c != "_text"]
-    out = measure(aside, "_text").withColumn("_bits", F.lit(0).cast("long"))
+    out = measure(aside, "_text")
     bits = F.lit(0).cast("long")
     for r in rules:
         on = r.fails
         for k in MEASURES:
             on = re.sub(rf"\b{k}\b", f"_m.{k}", on)
         bits = bits + F.when(F.expr(on), F.lit(r.mask)).otherwise(F.lit(0))
-    return out.select(*(F.col(f"`{c}`") for c in kept), F.col("_m").alias("measures"), bits.cast("long").alias("failures"))
+    # A row number, which the optimiser takes for non-deterministic, keeps filters on the bits above this projection: pushed
+    # below, they would measure each text anew for each rule, and each list for each of its members.
+    once = F.when(F.monotonically_increasing_id() >= 0, bits)
+    return out.select(*(F.col(f"`{c}`") for c in kept), F.col("_m").alias("measures"), once.cast("long").alias("failures"))
 
 
 def apply_policy(ledger_df: DataFrame, policy: str | int = CURRENT) -> DataFrame:
