@@ -114,6 +114,8 @@ class Shard:
 
     def full(self, docs: np.ndarray) -> np.ndarray:
         """Scores of documents by the query's idf, which is 0 for other words."""
+        if not len(docs):
+            return np.zeros(0)
         n = self.doc_count[docs]
         ends = np.cumsum(n)
         at = np.repeat(self.doc_first[docs] - ends + n, n) + np.arange(ends[-1])
@@ -129,23 +131,32 @@ class Shard:
             return np.zeros(0, np.int64), np.zeros(0)
         self.idf[words] = idf
         rest = np.concatenate([np.cumsum(bound[::-1])[::-1], [0.0]])  # rest[j]: all words from j on
-        seeds = int(np.searchsorted(np.cumsum(counts), 8 * k)) + 1
-        first = np.unique(self._walk(words[:seeds], counts[:seeds])[0])
-        scores = self.full(first)
+        rare = np.argsort(counts, kind="stable")
+        rare = rare[: max(1, int(np.searchsorted(np.cumsum(counts[rare]), 8 * k)))]
+        first = np.unique(self._walk(words[rare], counts[rare])[0])
+        found, scores = first, self.full(first)
         theta = np.partition(scores, len(scores) - k)[len(scores) - k] if len(scores) >= k else -1.0
         walked = int(np.searchsorted(-rest, -(theta - 1e-5)))  # words before this one must be walked
         walked = max(1, min(walked, len(words)))
         at, place = self._walk(words[:walked], counts[:walked])
         partial = np.bincount(at, weights=np.repeat(idf[:walked], counts[:walked]) * self.weight[place], minlength=self.n)
         docs = np.flatnonzero((partial > 0) & (partial + rest[walked] > theta - 1e-5))
-        if walked < len(words) and len(docs) > 4 * k:
-            n = self.block_count[words[walked:]]
-            ends = np.cumsum(n)
-            cells = np.repeat(self.block_first[words[walked:]] - ends + n, n) + np.arange(ends[-1])
-            limit = np.bincount(self.block_of[cells], weights=np.repeat(idf[walked:], n) * self.block_top[cells], minlength=self.n // BLOCK + 1)
-            docs = docs[partial[docs] + limit[docs // BLOCK] > theta - 1e-5]
-        found = np.unique(np.concatenate([docs, first]))
-        scores = np.round(self.full(found), 6)
+        if len(docs) > 2 * k:
+            upper = partial[docs]
+            if walked < len(words):
+                n = self.block_count[words[walked:]]
+                ends = np.cumsum(n)
+                cells = np.repeat(self.block_first[words[walked:]] - ends + n, n) + np.arange(ends[-1])
+                limit = np.bincount(self.block_of[cells], weights=np.repeat(idf[walked:], n) * self.block_top[cells], minlength=self.n // BLOCK + 1)
+                upper = upper + np.minimum(limit[docs // BLOCK], rest[walked])
+            # the most promising first: their scores lift the threshold for the others
+            lead = np.setdiff1d(docs[np.argpartition(-upper, 2 * k - 1)[: 2 * k]], found)
+            found, scores = np.concatenate([found, lead]), np.concatenate([scores, self.full(lead)])
+            if len(scores) >= k:
+                theta = max(theta, np.partition(scores, len(scores) - k)[len(scores) - k])
+            docs = docs[upper > theta - 1e-5]
+        docs = np.setdiff1d(docs, found)
+        found, scores = np.concatenate([found, docs]), np.round(np.concatenate([scores, self.full(docs)]), 6)
         self.idf[words] = 0
         ids = np.array([np.iinfo(np.int64).max if self.doc_ids[d] is None else self.doc_ids[d] for d in found.tolist()], np.int64)
         best = np.lexsort((ids, -scores))[:k]
