@@ -311,17 +311,18 @@ def weights() -> tuple[np.ndarray, np.ndarray]:
 def windows(text: str) -> Iterator[tuple[int, int]]:
     """Stretches that hold all candidate spans, with context, cut where other text is certain."""
     a = b = None
-    held = 0
+    digits, mail = 0, False
     for m in _SIGNS.finditer(text):
         if b is not None and m.start() - b > MAX_CHARS:
-            if held:
+            if mail or digits >= MIN_DIGITS:
                 yield max(0, a - CONTEXT), min(len(text), b + CONTEXT)
-            a, held = None, 0
+            a, digits, mail = None, 0, False
         if a is None:
             a = m.start()
         b = m.end()
-        held += "@" in m[0] or b - m.start() >= 3
-    if a is not None and held:
+        digits += len(m[0]) - m[0].count("@")
+        mail = mail or "@" in m[0]
+    if mail or digits >= MIN_DIGITS:
         yield max(0, a - CONTEXT), min(len(text), b + CONTEXT)
 
 

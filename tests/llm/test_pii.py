@@ -43,3 +43,13 @@ def test_detect_and_redact(spark):
     )
     assert [r.text for r in pii.redact(docs).collect()] == ["mail <EMAIL> now", None, "", "ip <IP>.", "mail <EMAIL> now", "clean text 1999"]
     assert pii.redact(docs).columns == docs.columns and pii.detect(docs.limit(0)).count() == 0
+
+
+def test_numbers_in_pairs_whatever_stands_near():
+    w, t = pii.weights()
+    for number in ("06 12 34 56 78", "06-12-34-56-78"):
+        for before in ("", "en 2024, ", "@home "):
+            text = f"{before}appelez le {number} demain"
+            a = text.index(number)
+            assert ("phone", a, a + len(number)) in pii.find(text, w, t)[1]
+    assert not list(pii.windows("le 12 et 34 a 56"))
