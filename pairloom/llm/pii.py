@@ -3,7 +3,7 @@
 The field scores whole candidate spans (up to MAX_TOKENS tokens) for each kind, and single tokens as other text, plus a
 weight for each pair of neighbouring labels; dynamic programming chooses boundaries and kinds together. A candidate holds
 an "@" and no gap, or at least MIN_DIGITS digits and no letter, so all text farther than a span from such signs is other text at constant score, and
-only windows around them are decoded: the same best path as over the whole text. Weights are learned by likelihood from
+only windows around them are decoded: the same best path as over the whole text, but for ties of equal scores. Weights are learned by likelihood from
 examples made by rule with a fixed seed (`examples`), in a second or two, on the driver.
 
 Base spans always stay; spans of the field are added where they touch none of them.
@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 KINDS = ("email", "ip", "card", "phone")
-MAX_TOKENS, MAX_CHARS, MIN_DIGITS, CONTEXT = 16, 80, 7, 24
+MAX_TOKENS, MAX_CHARS, MIN_DIGITS = 16, 80, 7
 #: Signs that may stand within an entity, besides letters and digits.
 SIGNS_WITHIN = " \t._%+-@()/"
 
@@ -308,14 +308,14 @@ def weights() -> tuple[np.ndarray, np.ndarray]:
     return np.array(w).reshape(len(LABELS), -1), np.array(t).reshape(len(LABELS), -1)
 
 
-def windows(text: str) -> Iterator[tuple[int, int]]:
-    """Stretches that hold all candidate spans, with context, cut where other text is certain."""
+def _stretches(text: str) -> Iterator[tuple[int, int]]:
+    """From the first to the last sign of each group that may hold a candidate; a gap over MAX_CHARS parts groups."""
     a = b = None
     digits, mail = 0, False
     for m in _SIGNS.finditer(text):
         if b is not None and m.start() - b > MAX_CHARS:
             if mail or digits >= MIN_DIGITS:
-                yield max(0, a - CONTEXT), min(len(text), b + CONTEXT)
+                yield a, b
             a, digits, mail = None, 0, False
         if a is None:
             a = m.start()
@@ -323,7 +323,28 @@ def windows(text: str) -> Iterator[tuple[int, int]]:
         digits += len(m[0]) - m[0].count("@")
         mail = mail or "@" in m[0]
     if mail or digits >= MIN_DIGITS:
-        yield max(0, a - CONTEXT), min(len(text), b + CONTEXT)
+        yield a, b
+
+
+def windows(text: str) -> Iterator[tuple[int, int]]:
+    """Whole tokens that hold all candidate spans, cut where other text is certain.
+
+    A candidate has a sign of its stretch and at most MAX_CHARS characters, so the token that holds the MAX_CHARS-th place
+    after the stretch, and all before the window, are in none."""
+    start = end = None
+    for a, b in _stretches(text):
+        x, y = max(0, a - MAX_CHARS), min(len(text), b + MAX_CHARS)
+        while x and _TOKEN.match(text, x - 1, x + 1).end() > x:
+            x -= 1
+        y = _TOKEN.match(text, y - 1).end()
+        if end is not None and x < end:
+            end = max(end, y)
+            continue
+        if end is not None:
+            yield start, end
+        start, end = x, y
+    if end is not None:
+        yield start, end
 
 
 def find(text: str | None, w: np.ndarray, t: np.ndarray) -> tuple[list[Span], list[Span]]:

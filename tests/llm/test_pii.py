@@ -53,3 +53,22 @@ def test_numbers_in_pairs_whatever_stands_near():
             a = text.index(number)
             assert ("phone", a, a + len(number)) in pii.find(text, w, t)[1]
     assert not list(pii.windows("le 12 et 34 a 56"))
+
+
+def test_windows_decode_as_the_whole_text():
+    w, t = pii.weights()
+    address = "marie@société-générale-du-bâtiment-et-travaux.fr"
+    text = f"écrivez à {address} demain"
+    assert pii.find(text, w, t)[1] == [("email", 10, 10 + len(address))]
+    r = random.Random(4)
+    filler = ("mot ", "élan, ", "x" * 90 + " ", "a\n", "((", "n° 12, ", "- ", "\t\t", "日本語", "٣٤ ")
+    parts = (address, "06 12 34 56 78", "06-12-34-56-78", "0612345678", "+33 6 12 34 56 78", "a@b", "@", "12.03.1999", "4111 1111 1111 1111", f"{'é' * 40}@{'ü' * 38}", "1" * 85, "731 ", "52 8 ")  # none so regular that shifted spans tie
+    n = 0
+    for _ in range(400):
+        text = "".join(r.choice(filler) * r.randint(1, r.choice((2, 40))) if r.random() < 0.7 else r.choice(parts) for _ in range(r.randint(1, 12)))
+        found = [s for a, b in pii.windows(text) for s in pii.decode(pii.Lattice(text, a, b), w, t)]
+        assert found == pii.decode(pii.Lattice(text, 0, len(text)), w, t)
+        n += len(found)
+    assert n > 300
+    for text in ("1" * 200_000, "é" * 200_000 + "@b.c", ("é" * 161 + "@") * 1200):
+        assert all(0 <= a < b <= len(text) for a, b in pii.windows(text))
