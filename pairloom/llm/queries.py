@@ -51,7 +51,7 @@ def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_katz_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return katz_lm.train_and_score(table(spark, sf_dir, "documents"), order=2)
+    return katz_lm.train_and_score(table(spark, sf_dir, "documents"), order=3)
 
 
 def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -77,3 +77,15 @@ def test_empty_and_all_held_out(spark):
     m = katz_lm.train(spark.createDataFrame([(1, "a b")], "doc_id long, text string"), held=F.lit(True))
     r = katz_lm.scores(m).first()
     assert r.train_tokens == 0 and r.n_known == 0 and r.score == 0.0
+
+
+def test_registered_query_uses_two_words_of_context(spark, tmp_path):
+    from pairloom.llm import queries
+
+    # "c" after "a b" and "d" after "x b": one word of context cannot tell them apart.
+    rows = [(k, " ".join(("a b c", "x b d")[(k + j) % 2] for j in range(k % 7 + 1))) for k in range(60)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    key = lambda r: (r[0], r[2])
+    got = sorted((tuple(r) for r in queries.op7_katz_lm(spark, str(tmp_path)).collect()), key=key)
+    for g, w, low in zip(got, sorted(Brute(rows, 3).rows(), key=key), sorted(Brute(rows, 2).rows(), key=key), strict=True):
+        assert g[:5] == w[:5] and math.isclose(g[6], w[6], rel_tol=1e-9) and not math.isclose(g[6], low[6], rel_tol=1e-3)
