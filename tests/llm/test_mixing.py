@@ -1,7 +1,10 @@
 import collections
+import decimal
 import hashlib
 import math
 
+from pyspark.sql import functions as F
+
 from pairloom.llm import mixing
 
 TARGETS = {"a": 0.6, "b": 0.1, None: 0.3}
@@ -46,3 +49,36 @@ def test_target_shares(spark):
 def test_distribution():
     c = mixing.cdf(2.5)
     assert abs(c[0] - math.exp(-2.5)) < 1e-12 and abs(c[-1] - 1) < 1e-12 and mixing.cdf(0.0)[0] == 1.0
+
+
+def exact(rate, us):
+    """Numbers of k with P(X <= k) <= u, by long decimals."""
+    with decimal.localcontext(prec=60):
+        lam, out = decimal.Decimal(rate), []
+        p, total, k = (-lam).exp(), decimal.Decimal(0), 0
+        for u in sorted(map(decimal.Decimal, us)):
+            while total + p <= u:
+                total, k = total + p, k + 1
+                p = p * lam / k
+            out.append(k)
+        return out
+
+
+def test_large_rates_against_long_decimals():
+    us = sorted([0.0, 2.0**-52, 1e-9, 0.01, 0.25, 0.5, 0.9, 1 - 1e-9])
+    for rate in (701.0, 1234.5, 20_000.25):
+        first, table = mixing.window(rate)
+        assert [first + int((table <= u).sum()) if u else 0 for u in us] == exact(rate, us)
+        assert len(mixing.cdf(rate)) == first + len(table)
+
+
+def test_a_source_that_is_nearly_empty_is_replicated(spark):
+    for size in (20_000, 300_000):  # mean rates of 1,000 and 15,000
+        rows = [(1, "a", "x"), (2, "a", "x"), (None, "a", None), *((k, "z", "y" * (size // 10)) for k in range(10, 20))]
+        docs = spark.createDataFrame(rows, "doc_id long, source string, text string")
+        targets = {"a": 0.1, None: 0.9}
+        rate = mixing.rates({"a": 2, None: size}, targets)["a"]
+        u = {d: int(hashlib.md5(f"5:{'' if d is None else d}".encode()).hexdigest()[:13], 16) / 2**52 for d in (1, 2, None)}
+        want = dict(zip(sorted(u, key=u.get), exact(rate, u.values()), strict=True))
+        got = mixing.mix(docs, targets, seed=5).filter("source = 'a'").groupBy("doc_id").agg(F.count("*").alias("n"), F.min("copy").alias("lo"), F.max("copy").alias("hi"), F.countDistinct("shuffle_key").alias("keys")).collect()
+        assert {r.doc_id: (r.n, r.lo, r.hi, r["keys"]) for r in got} == {d: (n, 1, n, n) for d, n in want.items()}
