@@ -9,7 +9,8 @@ Index: a row of a written table for each shard of about 16 MB of text, with its
 frequencies of their words. A task takes a shard, reads the query blocks one after another, and gives each query's best k of
 the shard; the merge keeps the best k of all. Memory is one shard and one query block, whatever the corpus.
 
-Search of a shard (block-max WAND, document numbers in blocks of BLOCK): each word's greatest contribution in the shard and
+Search of a shard (block-max MaxScore, document numbers in blocks of BLOCK; not WAND: no pivot is chosen and no block of a
+walked word is skipped, as whole posting lists are summed by array operations, where a pivot would be a Python step): each word's greatest contribution in the shard and
 in every block is known. Documents of the rarest words are scored first, which gives a threshold, the k-th best score. Words
 are then ordered by their greatest contribution; those whose maxima together stay below the threshold cannot lift a document
 over it alone, so only postings of the others are walked. A document's partial score, plus the block maxima of the words not
