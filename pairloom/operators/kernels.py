@@ -157,8 +157,9 @@ def solve(n: int, u: np.ndarray, v: np.ndarray, strategy: str = "phased", init:
     """Mates (-1: none) of a maximum matching, and the labels of the last forest: EVEN (with all of their blossoms), ODD, FREE.
 
     Strategies: single_root (a search from each free vertex; a tree without a path is never entered again), forest (all free
-    vertices, one path a search, bases of all vertices renewed at once), forest_uf (same, bases by union-find), phased (all
-    free vertices, disjoint paths in order of length, till a phase finds none), phased_ddfs (phases whose trees grow level by
+    vertices, one path a search, bases of all vertices renewed at once), forest_uf (same, bases by union-find), phased (the
+    search of forest_uf that goes on after a path: disjoint paths, one a tree, till a phase finds none; there are no buckets by
+    level and no contracted graph, and late paths of a phase need not be shortest), phased_ddfs (phases whose trees grow level by
     level on both sides of a bridge before it is crossed)."""
     g = Graph(n, u, v)
     mate = [-1] * n if mate is None else list(mate)

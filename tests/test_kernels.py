@@ -101,3 +101,9 @@ def test_unknown_names_are_refused():
         kernels.solve(1, *arrays([]), "nonsense")
     with pytest.raises(ValueError):
         kernels.solve(1, *arrays([]), "phased", "nonsense")
+
+
+def test_only_layered_search_claims_fewer_phases():
+    from pairloom.plans.benchmark import ALGORITHMS
+
+    assert [name for name, _, cost, _ in ALGORITHMS if cost == "sqrt(V) E"] == ["layered"]
