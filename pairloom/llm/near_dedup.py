@@ -7,13 +7,14 @@
    enumerated: each chunk gives 4 keys, each with one symbol left out. So every pair under the distance threshold shares
    a key; so do most pairs beyond, which are accepted up to 24 errors. Two sets of similarity 0.85 share no key or are not
    accepted with probability 1e-9, of 0.8 with 5e-8.
-3. Groups of nodes under one key. Only what is linked to what matters, not each pair, so first two rounds compare members
-   with one leader of their group, and what links is merged. Members of groups that still have several components are dealt
-   anew, by the rarest shingles of their sets (prefix filter: sets that link share one of them), which parts copies that
-   have each been changed much, once more compared with a leader, and at last pair by pair in blocks of bounded size, from
-   which only pairs of different components go on that are within the distance and overlap enough by halves of the hashes. No pair that a link could come
-   from is left out.
-4. Links are confirmed on the whole sets, and components taken over them.
+3. Groups of nodes under one key. Only what is linked to what matters, not each pair, so members are first compared with
+   two leaders of their group, the smallest and the largest, and what links gets a common label by a few steps of hooking
+   (nodes of one label are connected; labels need not be whole components). Members of groups that still have several
+   labels are dealt anew, by the rarest shingles of their sets (prefix filter: sets that link share one of them), which
+   parts copies that have each been changed much, once more compared with a leader, and at last pair by pair in blocks of
+   bounded size, from which only pairs of different labels go on that are within the distance and overlap enough by halves
+   of the hashes. No pair that a link between different labels could come from is left out.
+4. Links are confirmed on the whole sets, and components taken over them, once.
 
 Hot keys (a crowd of near copies, a passage that many share): minima are aggregates, joins can be split, blocks are
 dealt out one by one, so no task holds a group.
@@ -35,11 +36,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.components import components
-from .common import own_buffers, written
+from .common import own_buffers, remove, written
 
 
 #: Pairs up to THRESHOLD errors share a key for certain; of pairs that do, those up to ACCEPT go on to be confirmed.
-K, CHUNK, THRESHOLD, ACCEPT, BLOCK = 40, 4, 19, 24, 1024
+K, CHUNK, THRESHOLD, ACCEPT, BLOCK = 40, 4, 19, 24, 512
 _M = (1 << 64) - 1
 
 
@@ -225,11 +226,11 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
 
     keys = live.select("node", "sig").mapInArrow(_key_rows, "key long, node long")
     shared = keys.groupBy("key").agg(F.count("*").alias("c"), F.min("node").alias("first"), F.max("node").alias("last")).filter("c > 1")
-    groups, _ = written(keys.join(shared, "key").select("key", "node", "first", "last", "c"), "groups")
+    groups, groups_path = written(keys.join(shared, "key").select("key", "node", "first", "last", "c"), "groups")
 
     used = groups.select("node").distinct()
     owners = docs.withColumnRenamed("doc_id", "node").join(used, "node", "left_semi")
-    sets, _ = written(owners.mapInArrow(_set_rows, "node long, shingles array<long>"), "sets", compression="none")
+    sets, sets_path = written(owners.mapInArrow(_set_rows, "node long, shingles array<long>"), "sets", compression="none")
 
     def close(pairs: DataFrame) -> DataFrame:
         pairs = pairs.filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
@@ -237,28 +238,25 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
         pairs = pairs.join(live.select(F.col("node").alias("b"), F.col("n").alias("n_b"), F.col("sig").alias("sig_b")), "b")
         return pairs.mapInArrow(lambda it: _close(it, size, of), "a long, b long")
 
-    # Rounds with leaders: the smallest member of each group, then the largest.
-    links, _ = written(confirmed(close(groups.select(F.col("first").alias("a"), F.col("node").alias("b"))), sets, size, of), "confirmed")
-    comp, _ = written(components(links), "components")
-    labelled = _label(groups, comp)
-    open_keys = _open(labelled)
-    second = labelled.join(open_keys.select("key"), "key").select(F.col("last").alias("a"), F.col("node").alias("b"))
-    more, _ = written(confirmed(close(second), sets, size, of), "confirmed")
-    links = links.unionByName(more)
-    comp, _ = written(components(links), "components")
+    # One round with two leaders: the smallest and the largest member of each group.
+    leaders = groups.select(F.explode(F.array("first", "last")).alias("a"), F.col("node").alias("b"))
+    links, links_path = written(confirmed(close(leaders), sets, size, of), "confirmed")
+    hooked, hooked_path = written(_hooked(links), "hooked")
 
     # What is left: members of groups of several components, and of their sets the prefixes.
-    labelled = _label(groups.select("key", "node"), comp)
+    labelled = _label(groups.select("key", "node"), hooked)
     left = labelled.join(_open(labelled), "key").select("node").distinct()
-    rare, _ = written(_prefixes(left.join(live.select("node", "n"), "node"), sets, size, of), "prefixes")
-    labelled = _label(rare, comp)
+    rare, rare_path = written(_prefixes(left.join(live.select("node", "n"), "node"), sets, size, of), "prefixes")
+    remove(spark, groups_path)
+    labelled = _label(rare, hooked)
     third = labelled.join(labelled.groupBy("key").agg(F.min("node").alias("a"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo < hi").select("key", "a"), "key")
-    more, _ = written(confirmed(close(third.select("a", F.col("node").alias("b"))), sets, size, of), "confirmed")
+    more, more_path = written(confirmed(close(third.select("a", F.col("node").alias("b"))), sets, size, of), "confirmed")
     links = links.unionByName(more)
-    comp, _ = written(components(links), "components")
 
     # The rest is compared whole.
-    labelled = _label(rare, comp)
+    remove(spark, hooked_path)
+    hooked, hooked_path = written(_hooked(links), "hooked")
+    labelled = _label(rare, hooked)
     counts = labelled.groupBy("key").agg(F.count("*").alias("c"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo < hi").select("key", "c")
     halves = sets.select("node", F.transform("shingles", lambda x: F.shiftright(x, 32).cast("int")).alias("halves"))
     rest = labelled.join(counts, "key").join(live, "node").join(halves, "node")
@@ -267,8 +265,10 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     rest = rest.withColumn("mine", mine).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
     dealt = rest.select("key", "node", "comp", "n", "sig", "halves", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), (F.col("mine") > F.col("other")).cast("int").alias("side"))
     residual = dealt.groupBy("key", "i", "j").applyInArrow(_block_pairs(size, of), "a long, b long").distinct()
-    last, _ = written(confirmed(residual, sets, size, of), "confirmed")
+    last, last_path = written(confirmed(residual, sets, size, of), "confirmed")
     comp, _ = written(components(links.unionByName(last)), "components")
+    for path in (links_path, more_path, last_path, hooked_path, rare_path, sets_path):
+        remove(spark, path)
 
     by_fp = nodes.join(comp, "node", "left").select("fp", F.coalesce("component", "node").alias("component"))
     # Copies of one text may be a large part of all rows: a join that Spark can split, and nothing above it.
@@ -277,6 +277,18 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
 
 
+def _hooked(links: DataFrame) -> DataFrame:
+    """node, component: the smallest node that each linked node finds in a few steps. Nodes of one label are connected; not
+    all connected ones have one label yet, which costs comparisons and loses none. One aggregate and two joins, where whole
+    components would take rounds."""
+    both = links.select(F.col("a").alias("node"), F.col("b").alias("m")).unionByName(links.select(F.col("b").alias("node"), F.col("a").alias("m")))
+    low = both.groupBy("node").agg(F.min("m").alias("m")).select("node", F.least("node", "m").alias("component"))
+    for _ in range(2):
+        at = low.select(F.col("node").alias("component"), F.col("component").alias("further"))
+        low = low.join(at, "component").select("node", F.col("further").alias("component"))
+    return low
+
+
 def _label(groups: DataFrame, comp: DataFrame) -> DataFrame:
     return groups.join(comp, "node", "left").withColumn("comp", F.coalesce("component", "node")).drop("component")
 
