@@ -6,18 +6,23 @@ version 2), row groups and pages are small and a page index is written, so that
 metadata alone, touches only their pages. `part` numbers the files' ranges, `local_start` counts ids within one; a
 document's place in the whole is the sum of the parts before it plus local_start, so no row passes through one task.
 
-Defined cases: a null or empty text is the end id alone; null ids come first; repeated rows are kept, each with its own
+Texts are encoded by their distinct words where the tokenizer's file allows it (`by_words`), else whole.
+
+Defined cases: a null or empty text is the end id alone; special tokens are known as the tokenizer knows them, by their exact
+letters in the raw text, and so texts with "<|" are encoded whole; null ids come first; repeated rows are kept, each with its own
 place, ordered by a hash of the text, then as they come (their rows are then equal but for `start`); other columns are
 ignored; an empty table gives an empty one.
 """
 
 from __future__ import annotations
 
+import json
 import os
+import re
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import islice
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -43,62 +48,99 @@ SCHEMA = "doc_id long, part int, local_start long, n_tokens long, tokens array<i
 BATCH_BYTES, MEMORY_WORDS, SENT_WORDS = 4 << 20, 400_000, 200
 
 
+#: What a tokenizer's file must say for its texts to be encoded by words.
+NORMALIZERS = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]
+SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+SPECIAL_SIGN = "<|"
+BEYOND_LATIN = re.compile("[\u0250-\U0010ffff]").search
+
+
+def by_words(spec: dict) -> bool:
+    """Whether a text's ids are those of its lower-cased words, one after another: white space is dropped, letters are split
+    from other signs, nothing looks across, and special tokens, which are found in raw text, all hold SPECIAL_SIGN."""
+    normal, pre = spec.get("normalizer") or {}, spec.get("pre_tokenizer") or {}
+    first = (pre.get("pretokenizers") or [{}])[0]
+    return (
+        normal.get("normalizers") == NORMALIZERS
+        and first.get("pattern") == {"Regex": SPLIT}
+        and (first.get("behavior"), first.get("invert")) == ("Removed", True)
+        and [x.get("type") for x in pre["pretokenizers"][1:]] == ["ByteLevel"]
+        and not pre["pretokenizers"][1]["add_prefix_space"]
+        and spec.get("post_processor") is None
+        and all(SPECIAL_SIGN in t["content"] and not t["normalized"] and not t["lstrip"] and not t["rstrip"] for t in spec.get("added_tokens", []))
+    )
+
+
 class WordEncoder:
-    """Encodes texts by their distinct words. Holds for tokenizers that lower-case, drop white space, split letters from
-    other signs and look across neither boundary, so that a text's ids are those of its parts, one after another."""
+    """Encodes texts by their distinct words, where `by_words` allows it; other tokenizers, and texts with a sign that
+    special tokens begin with, are encoded whole."""
 
     def __init__(self, path: str, end_id: int | None, separator: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer, self.plain = Tokenizer.from_file(path), Tokenizer.from_file(path)
+        self.plain.normalizer = None  # words in Latin letters below U+0250 need none but lower case
+        with open(path, encoding="utf-8") as f:
+            self.by_words = by_words(json.load(f))
         self.end_id, self.separator, self.mark = end_id, separator, self.tokenizer.token_to_id(separator)
-        self.known: dict[str, bytes] = {}
+        # Ids of the words that are remembered: word k's are pool[cuts[k] : cuts[k + 1]].
+        self.known: dict[str, int] = {}
+        self.pool, self.cuts = np.zeros(0, np.int32), np.zeros(1, np.int64)
+
+    def whole(self, text: str) -> np.ndarray:
+        return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.int32)
 
-    def ids(self, words: list[str]) -> list[bytes]:
-        """Ids of each word, as int32 bytes. Many words go to the tokenizer as one text, kept apart by its separator
-        token; a word that holds the separator goes alone."""
-        out: list[bytes] = []
+    def ids(self, words: list[str], tokenizer) -> tuple[np.ndarray, np.ndarray]:
+        """Lengths and ids of words. Many go to the tokenizer as one text, kept apart by its separator token."""
+        lengths, ids = [np.zeros(0, np.int64)], [np.zeros(0, np.int32)]
         for k in range(0, len(words), SENT_WORDS):
-            part = words[k : k + SENT_WORDS]
-            if any(self.separator in w for w in part):
-                out += [np.array(self.tokenizer.encode(w, add_special_tokens=False).ids, np.int32).tobytes() for w in part]
-                continue
-            got = np.array(self.tokenizer.encode(f" {self.separator} ".join(part), add_special_tokens=False).ids, np.int32)
-            at = np.flatnonzero(got == self.mark)
-            data, a = got.tobytes(), [0, *(4 * (at + 1)).tolist()]
-            b = [*(4 * at).tolist(), len(data)]
-            out += [data[i:j] for i, j in zip(a, b, strict=True)]
-        return out
+            got = np.array(tokenizer.encode_batch_fast([f" {self.separator} ".join(words[k : k + SENT_WORDS])], add_special_tokens=False)[0].ids, np.int32)
+            own = got != self.mark
+            lengths.append(np.diff(np.flatnonzero(~own), prepend=-1, append=len(got)) - 1)
+            ids.append(got[own])
+        return np.concatenate(lengths), np.concatenate(ids)
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Offsets and ids of all texts."""
+        plain = own_buffers(texts)
+        special = pc.match_substring(plain, SPECIAL_SIGN) if self.by_words else pa.array(np.ones(len(plain), bool))
+        at = np.flatnonzero(special.to_numpy(zero_copy_only=False))
+        wholes = [self.whole(plain[k].as_py()) for k in at.tolist()]
+        if len(at):
+            plain = pc.if_else(special, "", plain)
         # A full stop or comma after an ASCII letter starts a new piece for the tokenizer in any case, and it lower-cases:
         # both done first leave fewer distinct words.
-        plain = pc.ascii_lower(own_buffers(texts))
-        split = pc.ascii_split_whitespace(pc.replace_substring_regex(plain, r"([a-z])([.,])", r"\1 \2"))
+        split = pc.ascii_split_whitespace(pc.replace_substring_regex(pc.ascii_lower(plain), r"([a-z])([.,])", r"\1 \2"))
         bounds = split.offsets.to_numpy(zero_copy_only=False).astype(np.int64)
+        bounds = bounds - bounds[0]
         coded = split.flatten().dictionary_encode()
-        words, known = coded.dictionary.to_pylist(), self.known
-        new = [w for w in words if w not in known]
-        fresh = dict(zip(new, self.ids(new), strict=True))
-        parts = [known[w] if w in known else fresh[w] for w in words]
-        if room := MEMORY_WORDS - len(known):  # frequent words come early
-            known.update(islice(fresh.items(), room))
-        if self.end_id is not None:
-            parts.append(np.array([self.end_id], np.int32).tobytes())
-        lengths = np.fromiter(map(len, parts), np.int64, len(parts)) // 4
-        pool, starts = np.frombuffer(b"".join(parts), np.int32), np.concatenate([[0], np.cumsum(lengths)[:-1]]) if len(parts) else np.zeros(0, np.int64)
-        order = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
-        if self.end_id is not None:
-            order = np.insert(order, bounds[1:] - bounds[0], len(parts) - 1)
-            bounds = bounds - bounds[0] + np.arange(len(bounds))
-        else:
-            bounds = bounds - bounds[0]
-        n = lengths[order]
-        ends = np.concatenate([[0], np.cumsum(n)])
-        ids = pool[np.repeat(starts[order] - ends[:-1], n) + np.arange(ends[-1])] if len(order) else np.zeros(0, np.int32)
-        return ends[bounds], ids
+        words = coded.dictionary.to_pylist()
+        code = np.fromiter(map(self.known.get, words, repeat(-1)), np.int64, len(words))
+        missing = np.flatnonzero(code < 0)
+        beyond = np.fromiter((BEYOND_LATIN(words[k]) is not None for k in missing.tolist()), bool, len(missing))
+        missing = np.concatenate([missing[~beyond], missing[beyond]])
+        new, n_plain = [words[k] for k in missing.tolist()], int((~beyond).sum())
+        fresh = [self.ids([w.lower() for w in new[:n_plain]], self.plain), self.ids(new[n_plain:], self.tokenizer)]
+        # The batch's lists: remembered words, new ones, texts encoded whole, the end.
+        n_known = len(self.known)
+        code[missing] = n_known + np.arange(len(new))
+        tail = [*wholes, np.array([self.end_id] if self.end_id is not None else [], np.int32)]
+        lengths = np.concatenate([*(f[0] for f in fresh), np.fromiter(map(len, tail), np.int64, len(tail))])
+        pool = np.concatenate([self.pool, *(f[1] for f in fresh), *tail])
+        cuts = np.concatenate([self.cuts, self.cuts[-1] + np.cumsum(lengths)])
+        order = code[coded.indices.to_numpy(zero_copy_only=False)]
+        order = np.insert(order, bounds[1:], len(cuts) - 2)
+        bounds = bounds + np.arange(len(bounds))
+        if len(at):
+            order = np.insert(order, bounds[at], len(cuts) - 2 - len(tail) + 1 + np.arange(len(at)))
+            bounds = bounds + np.searchsorted(at, np.arange(len(bounds)))
+        lists = pa.LargeListArray.from_arrays(pa.array(cuts), pa.array(pool)).take(pa.array(order))
+        if room := min(len(new), MEMORY_WORDS - n_known):  # frequent words come early
+            self.known.update(zip(new[:room], range(n_known, n_known + room), strict=True))
+            self.cuts = cuts[: n_known + room + 1]
+            self.pool = pool[: self.cuts[-1]]
+        return lists.offsets.to_numpy()[bounds], lists.values.to_numpy()
 
 
 @lru_cache(maxsize=2)

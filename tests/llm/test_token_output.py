@@ -47,3 +47,27 @@ def test_sliced_columns():
     for at in (0, 37, 99):
         ends, part = e.encode(x.slice(at, 1))
         assert part.tolist() == ids[whole[at] : whole[at + 1]].tolist() and ends.tolist() == [0, len(part)]
+
+
+def test_random_texts_with_special_tokens_in_any_letters():
+    import random
+
+    r, t = random.Random(4), Tokenizer.from_file(PATH)
+    parts = ["<|endoftext|>", "<|ENDOFTEXT|>", "<|EndOfText|>", "<|startoftext|>", "<|STARTOFTEXT|>", "<|", "|>", "a", "B.", "it's", "IT'S", "İ", "ß\xa0Ñ", "Ǆ", "é", "É,", "é", "Å", "12ab", "x.y,z", " ", "ΑΣ", "ﬁ", "##"]
+    texts = ["".join(r.choice(parts) + r.choice(["", " ", "\n", "  "]) for _ in range(r.randrange(12))) for _ in range(600)]
+    texts += ["<|endoftext|>" * 3000, "word <|startoftext|>" + " many words" * 5000, None, ""]
+    e = token_output.WordEncoder(PATH, 2, "<|endoftext|>")
+    assert e.by_words
+    for part in (texts[:7], texts[7:], texts[:50]):
+        ends, ids = e.encode(pa.array(part))
+        for k, x in enumerate(part):
+            assert ids[ends[k] : ends[k + 1]].tolist() == [*t.encode(x or "", add_special_tokens=False).ids, 2], x
+
+
+def test_a_tokenizer_of_another_kind_is_fed_whole_texts():
+    other = public_tokenizers.path("byte_bpe_50k.json")
+    e, t = token_output.WordEncoder(other, 2, "<|endoftext|>"), Tokenizer.from_file(other)
+    assert not e.by_words
+    texts = ["Hello  World. a,b", "", None, "x <|ENDOFTEXT|>"]
+    ends, ids = e.encode(pa.array(texts))
+    assert [ids[ends[k] : ends[k + 1]].tolist() for k in range(4)] == [[*t.encode(x or "", add_special_tokens=False).ids, 2] for x in texts]
