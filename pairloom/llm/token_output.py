@@ -45,7 +45,7 @@ LAYOUT = {
 }
 SCHEMA = "doc_id long, part int, local_start long, n_tokens long, tokens array<int>"
 #: Texts encoded at once, and words a worker remembers: bounds of memory, without effect on results.
-BATCH_BYTES, MEMORY_WORDS, SENT_WORDS = 4 << 20, 400_000, 200
+BATCH_BYTES, MEMORY_WORDS, SENT_WORDS = 2 << 20, 400_000, 200
 
 
 #: What a tokenizer's file must say for its texts to be encoded by words.
