@@ -1,12 +1,12 @@
 """Byte-level BPE encoding and decoding.
 
 Encoding finds the pattern's pieces in every text, and merges each distinct piece once: higher-order functions fold the
-ranked merges over the piece's bytes, with the ranks as a literal (an array of small maps, found by a hash, as the lookup
-in a map of Spark's is a linear search). How the pieces travel:
+ranked merges over the piece's bytes, with the ranks as a literal (of pairs of parts, in small buckets found by a hash, as the
+lookup in a map of Spark's is a linear search). How the pieces travel:
 
 1. each task lists the distinct pieces of its block of texts (some 10 MB or more);
 2. the lists are dealt out by piece, each distinct piece is merged once for the whole corpus, and goes back to the blocks
-   that have it: a dictionary for each block, one row of a written table;
+   that have it: a dictionary for each block, in a written table;
 3. texts are read again, and each task encodes its block by its dictionary, which is all that it holds.
 
 So neither the occurrences of pieces nor the texts are shuffled, no dictionary of the corpus is held anywhere, and a piece
@@ -27,9 +27,9 @@ import hashlib
 import heapq
 import json
 import re
-import zlib
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -39,6 +39,8 @@ from pyspark.sql import functions as F
 from .common import shared_path
 
 LONG, BUCKETS, BLOCK_BYTES, STEP_BYTES = 256, 16384, 24 << 20, 4 << 20
+#: Factors of the hashes of a pair of ranks, slots of the table, and the rank of none.
+HASH_A, HASH_B, SLOTS, NONE = 40503, 30011, 1 << 18, (1 << 31) - 1
 #: White space as the tokenizer's regular expressions have it.
 SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 #: Letters and numbers below U+0250, where the standard library's faster expressions can stand in.
@@ -68,9 +70,9 @@ def splitter(pattern: str):
     return find
 
 
-def merge(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
+def merge(piece: bytes, ranks: dict[bytes, int], whole: bool = True) -> list[int]:
     """Ids of one piece, the lowest rank first, leftmost among equals; n log n."""
-    if piece in ranks:
+    if whole and piece in ranks:
         return [ranks[piece]]
     n = len(piece)
     part: list[bytes | None] = [piece[i : i + 1] for i in range(n)]
@@ -92,49 +94,85 @@ def merge(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
     return [ranks[p] for p in part if p is not None]
 
 
+def pair_ranks(ranks: dict[bytes, int]) -> dict[tuple[int, int], int]:
+    """The rank of every pair of ranked byte strings that is one itself: what a merge of two parts gives."""
+    return {(ranks[x[:i]], ranks[x[i:]]): r for x, r in ranks.items() for i in range(1, len(x)) if x[:i] in ranks and x[i:] in ranks}
+
+
+def unreached(ranks: dict[bytes, int]) -> dict[bytes, int]:
+    """Ranked byte strings that merges do not lead to; a piece that is one is taken whole all the same."""
+    return {x: r for x, r in ranks.items() if merge(x, ranks, whole=False) != [r]}
+
+
+def slots(pairs: dict[tuple[int, int], int]) -> tuple[list[int], list[int]]:
+    """A table of two looks: pairs with one first hash share a shift, chosen so that second hash plus shift is a slot of
+    their own. A slot holds (a << 20 | b) << 20 | rank, 0 if none."""
+    buckets: list[list[tuple[int, int]]] = [[] for _ in range(BUCKETS)]
+    for a, b in pairs:
+        buckets[(a * HASH_A + b) % BUCKETS].append((a, b))
+    if min(pairs.values(), default=1) < 1 or max(pairs.values(), default=1) >= 1 << 20:
+        raise ValueError("merged ranks must be from 1 to 2^20 - 1")
+    shifts, table = [0] * BUCKETS, [0] * SLOTS
+    for k in sorted(range(BUCKETS), key=lambda k: -len(buckets[k])):
+        homes = [(a * HASH_B + b * HASH_A) % SLOTS for a, b in buckets[k]]
+        while len({(h + shifts[k]) % SLOTS for h in homes}) < len(homes) or any(table[(h + shifts[k]) % SLOTS] for h in homes):
+            shifts[k] += 1
+            if shifts[k] > SLOTS:
+                raise ValueError("these ranks need other hash factors")
+        for h, (a, b) in zip(homes, buckets[k], strict=True):
+            table[(h + shifts[k]) % SLOTS] = (a << 20 | b) << 20 | pairs[a, b]
+    return shifts, table
+
+
 def rank_literal(ranks: dict[bytes, int]) -> Column:
-    """The ranks as one constant: maps from upper-case hexadecimal strings, by CRC-32."""
-    buckets: list[dict[str, int]] = [{} for _ in range(BUCKETS)]
-    for piece, rank in ranks.items():
-        key = piece.hex().upper()
-        buckets[zlib.crc32(key.encode()) % BUCKETS][key] = rank
-    return F.from_json(F.lit(json.dumps(buckets)), "array<map<string,int>>")
+    """The ranks as one constant: of single bytes by their value, of pairs of parts by two hashes, and the pieces that only
+    count as wholes."""
+    shifts, table = slots(pair_ranks(ranks))
+    out = {"bytes": [ranks[bytes([k])] for k in range(256)], "shifts": shifts, "table": table, "wholes": {x.hex().upper(): r for x, r in unreached(ranks).items()}}
+    return F.from_json(F.lit(json.dumps(out, separators=(",", ":"))), "bytes array<bigint>, shifts array<bigint>, table array<bigint>, wholes map<string,bigint>")
 
 
 def fold_merges(word: Column, table: Column) -> Column:
-    """Ids of a word (array<int>) by its bytes' hexadecimal string. State: the parts so far, and whether none merges."""
-
-    def rank(h: Column) -> Column:
-        return F.element_at(F.get(table, F.crc32(h.cast("binary")) % BUCKETS), h)
+    """Ids of a word (array<int>), by a fold over its byte array. A part is known by its rank. State: the parts, with a
+    mark at each end, and the rank that each pair of neighbours would merge to (NONE if to none); a merge changes the two
+    pairs beside it. Each step merges the lowest rank, leftmost among equals."""
+    none, mark = F.lit(NONE).cast("bigint"), F.lit(-1).cast("bigint")
 
     def bound(value: Column, body) -> Column:
-        """Evaluates value once for body."""
-        return F.get(F.transform(F.array(value), body), 0)
-
-    def lowest(parts: Column) -> Column:
-        """rank * 2^20 + place of the lowest pair; null if no pair has a rank."""
-        return F.array_min(
-            F.transform(F.sequence(F.lit(0), F.size(parts) - 2), lambda i: rank(F.concat(F.get(parts, i), F.get(parts, i + 1))).cast("long") * (1 << 20) + i)
-        )
+        """Evaluates value once for body: an aggregate over nothing, which hands its start to its end without a copy."""
+        return F.aggregate(F.array().cast("array<int>"), value, lambda v, _: v, body)
 
-    def merged(parts: Column, i: Column) -> Column:
-        return F.concat(F.slice(parts, 1, i), F.array(F.concat(F.get(parts, i), F.get(parts, i + 1))), F.slice(parts, i + 3, F.size(parts)))
+    def rank(a: Column, b: Column) -> Column:
+        """What the slot holds beyond the pair's key is its rank, if the key is there."""
+        shift = F.get(table["shifts"], ((a * HASH_A + b) % BUCKETS).cast("int"))
+        held = F.get(table["table"], ((a * HASH_B + b * HASH_A + shift) % SLOTS).cast("int")) - (a * (1 << 40) + b * (1 << 20))
+        return bound(held, lambda r: F.when((r > 0) & (r < 1 << 20), r).otherwise(none))
 
     def step(s: Column, _: Column) -> Column:
-        again = bound(
-            lowest(s["parts"]),
-            lambda m: F.when(m.isNull(), F.struct(s["parts"].alias("parts"), F.lit(True).alias("done"))).otherwise(
-                F.struct(merged(s["parts"], (m % (1 << 20)).cast("int")).alias("parts"), F.lit(False).alias("done"))
-            ),
-        )
-        return F.when(s["done"] | (F.size(s["parts"]) < 2), s).otherwise(again)
-
-    h = F.hex(F.encode(word, "UTF-8"))
-    n = F.length(h) / 2
-    pieces = F.transform(F.sequence(F.lit(1), n.cast("int")), lambda i: F.substring(h, i * 2 - 1, F.lit(2)))
-    start = F.struct(pieces.alias("parts"), F.lit(False).alias("done"))
-    parts = F.aggregate(F.sequence(F.lit(1), n.cast("int")), start, step, lambda s: s["parts"])
-    return bound(rank(h), lambda whole: F.when(whole.isNotNull(), F.array(whole)).otherwise(F.transform(parts, rank)))
+        parts, pairs = s["parts"], s["pairs"]
+
+        def merged(m: Column) -> Column:
+            def at(i: Column) -> Column:
+                left, right = rank(F.get(parts, i - 2), m), rank(m, F.get(parts, i + 1))
+                return F.struct(
+                    F.concat(F.slice(parts, 1, i - 1), F.array(m), F.slice(parts, i + 2, F.size(parts))).alias("parts"),
+                    F.concat(F.slice(pairs, 1, i - 2), F.array(left, right), F.slice(pairs, i + 2, F.size(pairs))).alias("pairs"),
+                )
+
+            return F.when(m == NONE, s).otherwise(bound(F.array_position(pairs, m).cast("int"), at))
+
+        return bound(F.array_min(pairs), merged)
+
+    data = F.encode(word, "UTF-8")
+    values = F.transform(F.split(F.decode(data, "ISO-8859-1"), ""), lambda c: F.get(table["bytes"], F.ascii(c)))
+    start = bound(
+        F.concat(F.array(mark), values, F.array(mark)),
+        lambda v: F.struct(v.alias("parts"), F.transform(F.sequence(F.lit(0), F.size(v) - 2), lambda i: F.when((i == 0) | (i == F.size(v) - 2), none).otherwise(rank(F.get(v, i), F.get(v, i + 1)))).alias("pairs")),
+    )
+    # A piece of n bytes has n - 1 merges at most.
+    ids = F.aggregate(F.sequence(F.lit(2), F.octet_length(word)), start, step, lambda s: F.slice(s["parts"], 2, F.size(s["parts"]) - 2))
+    whole = F.element_at(table["wholes"], F.hex(data))
+    return F.when(whole.isNotNull(), F.array(whole)).otherwise(ids).cast("array<int>")
 
 
 def _pieces_of(batch: pa.RecordBatch, find) -> list[list[str]]:
@@ -184,45 +222,62 @@ def _list_pieces(pattern: str):
 
 
 @lru_cache(maxsize=2)
-def decoders(path: str) -> tuple[list[bytes], list[bytes]]:
-    """Byte strings, and decimals, of the ids."""
+def decoders(path: str) -> tuple[pa.Array, pa.Array]:
+    """Byte strings of the ids, and their decimals with a comma."""
     ranks = read_ranks(path)
     pieces = [b""] * (max(ranks.values()) + 1)
     for piece, rank in ranks.items():
         pieces[rank] = piece
-    return pieces, [b"%d" % k for k in range(len(pieces))]
+    return pa.array(pieces, pa.large_binary()), pa.array([b"%d," % k for k in range(len(pieces))], pa.large_binary())
 
 
 def decode(ids: list[int], path: str) -> bytes:
-    return b"".join(map(decoders(path)[0].__getitem__, ids))
+    return b"".join(decoders(path)[0].take(pa.array(ids, pa.int32())).to_pylist())
+
 
+def _sha256(strings: pa.Array, ids: pa.Array, ends: np.ndarray, drop: int) -> list[str]:
+    """Digests of the ids' strings put together, from each end to the next, without the last `drop` bytes."""
+    taken = strings.take(ids)
+    _, offsets, data = taken.buffers()
+    data, at = memoryview(data or b""), np.frombuffer(offsets, np.int64)[ends + taken.offset].tolist() if len(ids) else [0] * len(ends)
+    return [hashlib.sha256(data[i : max(i, j - drop)]).hexdigest() for i, j in zip(at[:-1], at[1:], strict=True)]
 
-def dictionaries(docs: DataFrame, pattern: str, ranks_path: str) -> str:
-    """The blocks' dictionaries, in a written table with a folder for each block. Returns its path."""
+
+def _folder(block: int | Column, folders: int) -> int | Column:
+    """Where a block's dictionary lies: consecutive partitions and places go to different folders."""
+    return (block % (1 << 24) + 31 * ((block - block % (1 << 24)) / (1 << 24)).cast("long")) % folders if isinstance(block, Column) else (block % (1 << 24) + 31 * (block >> 24)) % folders
+
+
+def dictionaries(docs: DataFrame, pattern: str, ranks_path: str) -> tuple[str, int]:
+    """The blocks' dictionaries, in a written table of as many folders as there are shuffle partitions, each with its blocks
+    in order and in row groups of about one. Returns its path and the number of folders."""
+    folders = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     listed = docs.select("text").mapInArrow(_list_pieces(pattern), "block long, word string")
     # One row for each piece and some thousand blocks that have it, which bounds the row of the commonest piece.
     words = listed.groupBy("word", F.shiftright("block", 36).alias("part")).agg(F.collect_list("block").alias("blocks"))
     coded = words.select("blocks", "word", fold_merges(F.col("word"), rank_literal(read_ranks(ranks_path))).alias("ids"))
-    joined = coded.select(F.explode("blocks").alias("block"), "word", "ids")
+    joined = coded.select(F.explode("blocks").alias("block"), "word", "ids").withColumn("folder", _folder(F.col("block"), folders))
     path = shared_path(docs.sparkSession, "bpe")
-    joined.repartition("block").write.option("compression", "zstd").partitionBy("block").parquet(path)
-    return path
+    dealt = joined.repartition("folder").sortWithinPartitions("folder", "block")
+    dealt.write.options(**{"compression": "zstd", "parquet.block.size": str(8 << 20)}).partitionBy("folder").parquet(path)
+    return path, folders
 
 
-def _dictionary(path: str, block: int) -> dict[str, bytes]:
+def _dictionary(path: str, folders: int, block: int) -> dict[str, bytes]:
     import pyarrow.dataset as ds
     from pyarrow import fs
 
     from .warc import open_fs
 
-    store, at = open_fs(f"{path}/block={block}")
+    store, at = open_fs(f"{path}/folder={_folder(block, folders)}")
     if store.get_file_info(at).type == fs.FileType.NotFound:
         return {}
     out: dict[str, bytes] = {}
-    for b in ds.dataset(at, filesystem=store, format="parquet").to_batches(columns=["word", "ids"]):
-        lists = b.column("ids")
-        data, off = lists.values.to_numpy().astype("<i4").tobytes(), (4 * lists.offsets.to_numpy().astype(np.int64)).tolist()
-        out.update(zip(b.column("word").to_pylist(), (data[i:j] for i, j in zip(off[:-1], off[1:], strict=True)), strict=True))
+    for b in ds.dataset(at, filesystem=store, format="parquet").to_batches(columns=["word", "ids"], filter=ds.field("block") == block):
+        if b.num_rows:
+            lists = b.column("ids")
+            data, off = lists.values.to_numpy().astype("<i4").tobytes(), (4 * lists.offsets.to_numpy().astype(np.int64)).tolist()
+            out.update(zip(b.column("word").to_pylist(), (data[i:j] for i, j in zip(off[:-1], off[1:], strict=True)), strict=True))
     return out
 
 
@@ -230,33 +285,29 @@ def encode_documents(docs: DataFrame, ranks_path: str, pattern: str, *, id_col:
     """doc_id, n_tokens, ids_sha256, decoded_sha256 for each row, and `ids` if asked for; the last digest is of the bytes
     that the ids decode to."""
     docs = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
-    path = dictionaries(docs, pattern, ranks_path)
+    path, folders = dictionaries(docs, pattern, ranks_path)
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ranks, find, (pieces_of_ids, decimals) = read_ranks(ranks_path), splitter(pattern), decoders(ranks_path)
+        ranks, find, (strings, decimals) = read_ranks(ranks_path), splitter(pattern), decoders(ranks_path)
         at, known = None, {}
         for block, batch, _ in _blocks(batches):
             if block != at:
-                at, known = block, _dictionary(path, block)
-            coded, sums, back = [], [], []
-            for pieces in _pieces_of(batch, find):
-                try:
-                    code = b"".join(map(known.__getitem__, pieces))
-                except KeyError:
-                    for p in pieces:
-                        if p not in known:
-                            known[p] = np.array(merge(p.encode(), ranks), "<i4").tobytes()
-                    code = b"".join(map(known.__getitem__, pieces))
-                ids = np.frombuffer(code, "<i4").tolist()
-                coded.append(code)
-                sums.append(hashlib.sha256(b",".join(map(decimals.__getitem__, ids))).hexdigest())
-                back.append(hashlib.sha256(b"".join(map(pieces_of_ids.__getitem__, ids))).hexdigest())
-            n = np.fromiter(map(len, coded), np.int64, len(coded)) // 4
-            ids = np.frombuffer(b"".join(coded), "<i4")
-            ends = np.concatenate([[0], np.cumsum(n)])
-            cols, names = [batch.column("doc_id"), pa.array(n), pa.array(sums, pa.string()), pa.array(back, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
+                at, known = block, _dictionary(path, folders, block)
+            pieces = _pieces_of(batch, find)
+            coded = pa.array(list(chain.from_iterable(pieces)), pa.large_string()).dictionary_encode()
+            words = coded.dictionary.to_pylist()
+            for w in words:
+                if w not in known:
+                    known[w] = np.array(merge(w.encode(), ranks), "<i4").tobytes()
+            codes = [known[w] for w in words]
+            cuts = np.concatenate([[0], np.cumsum(np.fromiter(map(len, codes), np.int64, len(codes)) // 4)])
+            lists = pa.LargeListArray.from_arrays(pa.array(cuts), pa.array(np.frombuffer(b"".join(codes), "<i4"))).take(coded.indices)
+            bounds = np.concatenate([[0], np.cumsum(np.fromiter(map(len, pieces), np.int64, len(pieces)))])
+            ids, ends = lists.values, lists.offsets.to_numpy()[bounds] if len(lists) else np.zeros(len(bounds), np.int64)
+            cols = [batch.column("doc_id"), pa.array(np.diff(ends)), pa.array(_sha256(decimals, ids, ends, 1), pa.string()), pa.array(_sha256(strings, ids, ends, 0), pa.string())]
+            names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
             if with_ids:
-                cols.append(pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(ids)))
+                cols.append(pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), ids))
                 names.append("ids")
             yield pa.RecordBatch.from_arrays(cols, names=names)
 

@@ -42,3 +42,22 @@ def test_folded_merges(spark):
     df = spark.createDataFrame([(w,) for w in words], "word string")
     got = {r.word: r.ids for r in df.select("word", byte_bpe.fold_merges(F.col("word"), byte_bpe.rank_literal(RANKS)).alias("ids")).collect()}
     assert got == {w: byte_bpe.merge(w.encode(), RANKS) for w in words}
+
+
+def test_dictionaries_hold_the_pieces_of_their_blocks(spark):
+    texts = ["the house, the tree", "Ñandú 中文 12", "x" * 80 + " end"]
+    docs = spark.createDataFrame([(t,) for t in texts], "text string").coalesce(1)
+    path, folders = byte_bpe.dictionaries(docs, public_tokenizers.PATTERN, PATH)
+    want = {p for t in texts for p in byte_bpe.splitter(public_tokenizers.PATTERN)(t) if len(p) <= byte_bpe.LONG // 4}
+    got = byte_bpe._dictionary(path, folders, 0)
+    assert {w: list(memoryview(b).cast("i")) for w, b in got.items()} == {w: ENC.encode_ordinary(w) for w in want}
+    assert byte_bpe._dictionary(path, folders, 1) == {}
+
+
+def test_slots_of_small_rank_tables():
+    for pairs in ({}, {(1, 2): 300}, {(a, b): 256 + 40 * a + b for a in range(40) for b in range(40)}):
+        shifts, table = byte_bpe.slots(pairs)
+        for (a, b), r in pairs.items():
+            shift = shifts[(a * byte_bpe.HASH_A + b) % byte_bpe.BUCKETS]
+            assert table[(a * byte_bpe.HASH_B + b * byte_bpe.HASH_A + shift) % byte_bpe.SLOTS] - (a << 40 | b << 20) == r
+        assert sum(map(bool, table)) == len(pairs)
