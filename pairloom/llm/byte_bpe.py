@@ -40,7 +40,7 @@ from .common import shared_path
 
 LONG, BUCKETS, BLOCK_BYTES, STEP_BYTES = 256, 16384, 24 << 20, 4 << 20
 #: Factors of the hashes of a pair of ranks, slots of the table, and the rank of none.
-HASH_A, HASH_B, SLOTS, NONE = 40503, 30011, 1 << 18, (1 << 31) - 1
+HASH_A, HASH_B, SLOTS, NONE = 40503, 30011, 1 << 17, (1 << 31) - 1
 #: White space as the tokenizer's regular expressions have it.
 SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 #: Letters and numbers below U+0250, where the standard library's faster expressions can stand in.
