@@ -124,29 +124,47 @@ def slots(pairs: dict[tuple[int, int], int]) -> tuple[list[int], list[int]]:
     return shifts, table
 
 
-def rank_literal(ranks: dict[bytes, int]) -> Column:
-    """The ranks as one constant: of single bytes by their value, of pairs of parts by two hashes, and the pieces that only
-    count as wholes."""
+def rank_json(ranks: dict[bytes, int]) -> str:
+    """The ranks of single bytes by their value, of pairs of parts by two hashes, and the pieces that only count as wholes."""
     shifts, table = slots(pair_ranks(ranks))
     out = {"bytes": [ranks[bytes([k])] for k in range(256)], "shifts": shifts, "table": table, "wholes": {x.hex().upper(): r for x, r in unreached(ranks).items()}}
-    return F.from_json(F.lit(json.dumps(out, separators=(",", ":"))), "bytes array<bigint>, shifts array<bigint>, table array<bigint>, wholes map<string,bigint>")
+    return json.dumps(out, separators=(",", ":"))
+
+
+@lru_cache(maxsize=2)
+def _rank_json_of(path: str) -> str:
+    return rank_json(read_ranks(path))
+
+
+def _literal(text: str) -> Column:
+    return F.from_json(F.lit(text), "bytes array<bigint>, shifts array<bigint>, table array<bigint>, wholes map<string,bigint>")
+
+
+def rank_literal(ranks: dict[bytes, int]) -> Column:
+    """The ranks as one constant."""
+    return _literal(rank_json(ranks))
+
+
+def _bound(value: Column, body) -> Column:
+    """Evaluates value once for body: an aggregate over nothing, which hands its start to its end without a copy."""
+    return F.aggregate(F.array().cast("array<int>"), value, lambda v, _: v, body)
 
 
 def fold_merges(word: Column, table: Column) -> Column:
     """Ids of a word (array<int>), by a fold over its byte array. A part is known by its rank. State: the parts, with a
     mark at each end, and the rank that each pair of neighbours would merge to (NONE if to none); a merge changes the two
-    pairs beside it. Each step merges the lowest rank, leftmost among equals."""
-    none, mark = F.lit(NONE).cast("bigint"), F.lit(-1).cast("bigint")
+    pairs beside it. Each step merges the lowest rank, leftmost among equals. The table is bound, so that plans hold it once."""
+    return _bound(table, lambda t: _folded(word, t))
+
 
-    def bound(value: Column, body) -> Column:
-        """Evaluates value once for body: an aggregate over nothing, which hands its start to its end without a copy."""
-        return F.aggregate(F.array().cast("array<int>"), value, lambda v, _: v, body)
+def _folded(word: Column, table: Column) -> Column:
+    none, mark = F.lit(NONE).cast("bigint"), F.lit(-1).cast("bigint")
 
     def rank(a: Column, b: Column) -> Column:
         """What the slot holds beyond the pair's key is its rank, if the key is there."""
         shift = F.get(table["shifts"], ((a * HASH_A + b) % BUCKETS).cast("int"))
         held = F.get(table["table"], ((a * HASH_B + b * HASH_A + shift) % SLOTS).cast("int")) - (a * (1 << 40) + b * (1 << 20))
-        return bound(held, lambda r: F.when((r > 0) & (r < 1 << 20), r).otherwise(none))
+        return _bound(held, lambda r: F.when((r > 0) & (r < 1 << 20), r).otherwise(none))
 
     def step(s: Column, _: Column) -> Column:
         parts, pairs = s["parts"], s["pairs"]
@@ -159,13 +177,13 @@ def fold_merges(word: Column, table: Column) -> Column:
                     F.concat(F.slice(pairs, 1, i - 2), F.array(left, right), F.slice(pairs, i + 2, F.size(pairs))).alias("pairs"),
                 )
 
-            return F.when(m == NONE, s).otherwise(bound(F.array_position(pairs, m).cast("int"), at))
+            return F.when(m == NONE, s).otherwise(_bound(F.array_position(pairs, m).cast("int"), at))
 
-        return bound(F.array_min(pairs), merged)
+        return _bound(F.array_min(pairs), merged)
 
     data = F.encode(word, "UTF-8")
     values = F.transform(F.split(F.decode(data, "ISO-8859-1"), ""), lambda c: F.get(table["bytes"], F.ascii(c)))
-    start = bound(
+    start = _bound(
         F.concat(F.array(mark), values, F.array(mark)),
         lambda v: F.struct(v.alias("parts"), F.transform(F.sequence(F.lit(0), F.size(v) - 2), lambda i: F.when((i == 0) | (i == F.size(v) - 2), none).otherwise(rank(F.get(v, i), F.get(v, i + 1)))).alias("pairs")),
     )
@@ -255,7 +273,7 @@ def dictionaries(docs: DataFrame, pattern: str, ranks_path: str) -> tuple[str, i
     listed = docs.select("text").mapInArrow(_list_pieces(pattern), "block long, word string")
     # One row for each piece and some thousand blocks that have it, which bounds the row of the commonest piece.
     words = listed.groupBy("word", F.shiftright("block", 36).alias("part")).agg(F.collect_list("block").alias("blocks"))
-    coded = words.select("blocks", "word", fold_merges(F.col("word"), rank_literal(read_ranks(ranks_path))).alias("ids"))
+    coded = words.select("blocks", "word", fold_merges(F.col("word"), _literal(_rank_json_of(ranks_path))).alias("ids"))
     joined = coded.select(F.explode("blocks").alias("block"), "word", "ids").withColumn("folder", _folder(F.col("block"), folders))
     path = shared_path(docs.sparkSession, "bpe")
     dealt = joined.repartition("folder").sortWithinPartitions("folder", "block")
