@@ -35,12 +35,13 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from .common import shared_path
 
 LONG, BUCKETS, BLOCK_BYTES, STEP_BYTES = 256, 16384, 24 << 20, 4 << 20
-#: Factors of the hashes of a pair of ranks, slots of the table, and the rank of none.
-HASH_A, HASH_B, SLOTS, NONE = 40503, 30011, 1 << 17, (1 << 31) - 1
+#: Factors of the hashes of a pair of ranks, slots of the table, the rank of none, and the part that marks an end.
+HASH_A, HASH_B, SLOTS, NONE, MARK = 40503, 30011, 1 << 17, (1 << 31) - 1, (1 << 20) - 1
 #: White space as the tokenizer's regular expressions have it.
 SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 #: Letters and numbers below U+0250, where the standard library's faster expressions can stand in.
@@ -110,8 +111,8 @@ def slots(pairs: dict[tuple[int, int], int]) -> tuple[list[int], list[int]]:
     buckets: list[list[tuple[int, int]]] = [[] for _ in range(BUCKETS)]
     for a, b in pairs:
         buckets[(a * HASH_A + b) % BUCKETS].append((a, b))
-    if min(pairs.values(), default=1) < 1 or max(pairs.values(), default=1) >= 1 << 20:
-        raise ValueError("merged ranks must be from 1 to 2^20 - 1")
+    if min(pairs.values(), default=1) < 1 or max(pairs.values(), default=1) >= MARK:
+        raise ValueError("merged ranks must be from 1 to 2^20 - 2")
     shifts, table = [0] * BUCKETS, [0] * SLOTS
     for k in sorted(range(BUCKETS), key=lambda k: -len(buckets[k])):
         homes = [(a * HASH_B + b * HASH_A) % SLOTS for a, b in buckets[k]]
@@ -151,14 +152,15 @@ def _bound(value: Column, body) -> Column:
 
 
 def fold_merges(word: Column, table: Column) -> Column:
-    """Ids of a word (array<int>), by a fold over its byte array. A part is known by its rank. State: the parts, with a
-    mark at each end, and the rank that each pair of neighbours would merge to (NONE if to none); a merge changes the two
-    pairs beside it. Each step merges the lowest rank, leftmost among equals. The table is bound, so that plans hold it once."""
+    """Ids of a word (array<int>), by a fold over its byte array. A part is known by its rank. State: for each part its own
+    rank and, above it, the rank that it and the next would merge to (NONE if to none), between two marks; a merge changes
+    its own place and the one before. Each step merges the lowest rank, leftmost among equals. The table is bound, so that
+    plans hold it once."""
     return _bound(table, lambda t: _folded(word, t))
 
 
 def _folded(word: Column, table: Column) -> Column:
-    none, mark = F.lit(NONE).cast("bigint"), F.lit(-1).cast("bigint")
+    none, mark, unit = F.lit(NONE).cast("bigint"), F.lit(MARK).cast("bigint"), 1 << 20
 
     def rank(a: Column, b: Column) -> Column:
         """What the slot holds beyond the pair's key is its rank, if the key is there."""
@@ -166,29 +168,29 @@ def _folded(word: Column, table: Column) -> Column:
         held = F.get(table["table"], ((a * HASH_B + b * HASH_A + shift) % SLOTS).cast("int")) - (a * (1 << 40) + b * (1 << 20))
         return _bound(held, lambda r: F.when((r > 0) & (r < 1 << 20), r).otherwise(none))
 
-    def step(s: Column, _: Column) -> Column:
-        parts, pairs = s["parts"], s["pairs"]
+    def part(s: Column, i: Column) -> Column:
+        return F.get(s, i) % unit
 
+    def step(s: Column, _: Column) -> Column:
         def merged(m: Column) -> Column:
             def at(i: Column) -> Column:
-                left, right = rank(F.get(parts, i - 2), m), rank(m, F.get(parts, i + 1))
-                return F.struct(
-                    F.concat(F.slice(parts, 1, i - 1), F.array(m), F.slice(parts, i + 2, F.size(parts))).alias("parts"),
-                    F.concat(F.slice(pairs, 1, i - 2), F.array(left, right), F.slice(pairs, i + 2, F.size(pairs))).alias("pairs"),
-                )
+                before = part(s, i - 2)
+                two = F.array(rank(before, m) * unit + before, rank(m, part(s, i + 1)) * unit + m)
+                return F.concat(F.slice(s, 1, i - 2), two, F.slice(s, i + 2, F.size(s)))
 
-            return F.when(m == NONE, s).otherwise(_bound(F.array_position(pairs, m).cast("int"), at))
+            place = F.array_position(F.transform(s, lambda x: F.shiftright(x, 20)), m).cast("int")
+            return F.when(m == NONE, s).otherwise(_bound(place, at))
 
-        return _bound(F.array_min(pairs), merged)
+        return _bound(F.shiftright(F.array_min(s), 20), merged)
 
     data = F.encode(word, "UTF-8")
     values = F.transform(F.split(F.decode(data, "ISO-8859-1"), ""), lambda c: F.get(table["bytes"], F.ascii(c)))
     start = _bound(
         F.concat(F.array(mark), values, F.array(mark)),
-        lambda v: F.struct(v.alias("parts"), F.transform(F.sequence(F.lit(0), F.size(v) - 2), lambda i: F.when((i == 0) | (i == F.size(v) - 2), none).otherwise(rank(F.get(v, i), F.get(v, i + 1)))).alias("pairs")),
+        lambda v: F.transform(v, lambda x, i: F.when((x == MARK) | (F.get(v, i + 1) == MARK), none).otherwise(rank(x, F.get(v, i + 1))) * unit + x),
     )
     # A piece of n bytes has n - 1 merges at most.
-    ids = F.aggregate(F.sequence(F.lit(2), F.octet_length(word)), start, step, lambda s: F.slice(s["parts"], 2, F.size(s["parts"]) - 2))
+    ids = F.aggregate(F.sequence(F.lit(2), F.octet_length(word)), start, step, lambda s: F.transform(F.slice(s, 2, F.size(s) - 2), lambda x: x % unit))
     whole = F.element_at(table["wholes"], F.hex(data))
     return F.when(whole.isNotNull(), F.array(whole)).otherwise(ids).cast("array<int>")
 
@@ -270,14 +272,16 @@ def dictionaries(docs: DataFrame, pattern: str, ranks_path: str) -> tuple[str, i
     """The blocks' dictionaries, in a written table of as many folders as there are shuffle partitions, each with its blocks
     in order and in row groups of about one. Returns its path and the number of folders."""
     folders = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    listed = docs.select("text").mapInArrow(_list_pieces(pattern), "block long, word string")
-    # One row for each piece and some thousand blocks that have it, which bounds the row of the commonest piece.
-    words = listed.groupBy("word", F.shiftright("block", 36).alias("part")).agg(F.collect_list("block").alias("blocks"))
-    coded = words.select("blocks", "word", fold_merges(F.col("word"), _literal(_rank_json_of(ranks_path))).alias("ids"))
-    joined = coded.select(F.explode("blocks").alias("block"), "word", "ids").withColumn("folder", _folder(F.col("block"), folders))
+    listed = docs.select("text").mapInArrow(_list_pieces(pattern), StructType([StructField("block", LongType(), False), StructField("word", StringType(), False)]))
+    # Dealt out by piece once: each is merged where its rows are, and joined to them there. `last` is in the condition so
+    # that both sides of the join need the same columns, and Spark reads one exchange twice.
+    dealt = listed.repartition("word")
+    pieces = dealt.groupBy(F.col("word").alias("piece")).agg(F.max("block").alias("last"))
+    coded = pieces.select("piece", "last", fold_merges(F.col("piece"), _literal(_rank_json_of(ranks_path))).alias("ids"))
+    found = dealt.join(coded.hint("shuffle_hash"), (F.col("word") == F.col("piece")) & (F.col("block") <= F.col("last")))
+    joined = found.select("block", "word", "ids").withColumn("folder", _folder(F.col("block"), folders))
     path = shared_path(docs.sparkSession, "bpe")
-    dealt = joined.repartition("folder").sortWithinPartitions("folder", "block")
-    dealt.write.options(**{"compression": "zstd", "parquet.block.size": str(8 << 20)}).partitionBy("folder").parquet(path)
+    joined.repartition("folder").sortWithinPartitions("folder", "block").write.options(**{"compression": "zstd", "parquet.block.size": str(8 << 20)}).partitionBy("folder").parquet(path)
     return path, folders
 
 
