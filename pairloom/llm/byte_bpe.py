@@ -268,6 +268,11 @@ def _folder(block: int | Column, folders: int) -> int | Column:
     return (block % (1 << 24) + 31 * ((block - block % (1 << 24)) / (1 << 24)).cast("long")) % folders if isinstance(block, Column) else (block % (1 << 24) + 31 * (block >> 24)) % folders
 
 
+def _shift(ranks_path: str) -> int:
+    """Ids below 2^16 travel as shorts, less this."""
+    return 1 << 15 if max(read_ranks(ranks_path).values(), default=0) < 1 << 16 else 0
+
+
 def dictionaries(docs: DataFrame, pattern: str, ranks_path: str) -> tuple[str, int]:
     """The blocks' dictionaries, in a written table of as many folders as there are shuffle partitions, each with its blocks
     in order and in row groups of about one. Returns its path and the number of folders."""
@@ -277,15 +282,18 @@ def dictionaries(docs: DataFrame, pattern: str, ranks_path: str) -> tuple[str, i
     # that both sides of the join need the same columns, and Spark reads one exchange twice.
     dealt = listed.repartition("word")
     pieces = dealt.groupBy(F.col("word").alias("piece")).agg(F.max("block").alias("last"))
-    coded = pieces.select("piece", "last", fold_merges(F.col("piece"), _literal(_rank_json_of(ranks_path))).alias("ids"))
-    found = dealt.join(coded.hint("shuffle_hash"), (F.col("word") == F.col("piece")) & (F.col("block") <= F.col("last")))
-    joined = found.select("block", "word", "ids").withColumn("folder", _folder(F.col("block"), folders))
+    ids = fold_merges(F.col("piece"), _literal(_rank_json_of(ranks_path)))
+    if shift := _shift(ranks_path):
+        ids = F.transform(ids, lambda x: (x - shift).cast("short"))
+    coded = pieces.select("piece", "last", ids.alias("ids"))
+    found = dealt.join(coded.hint("shuffle_hash"), (F.col("word") == F.col("piece")) & (F.col("block") <= F.col("last"))).select("block", "word", "ids")
+    joined = found.repartition(_folder(F.col("block"), folders)).withColumn("folder", _folder(F.col("block"), folders))
     path = shared_path(docs.sparkSession, "bpe")
-    joined.repartition("folder").sortWithinPartitions("folder", "block").write.options(**{"compression": "zstd", "parquet.block.size": str(8 << 20)}).partitionBy("folder").parquet(path)
+    joined.sortWithinPartitions("folder", "block").write.options(**{"compression": "zstd", "parquet.block.size": str(8 << 20)}).partitionBy("folder").parquet(path)
     return path, folders
 
 
-def _dictionary(path: str, folders: int, block: int) -> dict[str, bytes]:
+def _dictionary(path: str, folders: int, block: int, shift: int) -> dict[str, bytes]:
     import pyarrow.dataset as ds
     from pyarrow import fs
 
@@ -298,7 +306,7 @@ def _dictionary(path: str, folders: int, block: int) -> dict[str, bytes]:
     for b in ds.dataset(at, filesystem=store, format="parquet").to_batches(columns=["word", "ids"], filter=ds.field("block") == block):
         if b.num_rows:
             lists = b.column("ids")
-            data, off = lists.values.to_numpy().astype("<i4").tobytes(), (4 * lists.offsets.to_numpy().astype(np.int64)).tolist()
+            data, off = (lists.values.to_numpy().astype("<i4") + np.int32(shift)).tobytes(), (4 * lists.offsets.to_numpy().astype(np.int64)).tolist()
             out.update(zip(b.column("word").to_pylist(), (data[i:j] for i, j in zip(off[:-1], off[1:], strict=True)), strict=True))
     return out
 
@@ -311,10 +319,10 @@ def encode_documents(docs: DataFrame, ranks_path: str, pattern: str, *, id_col:
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ranks, find, (strings, decimals) = read_ranks(ranks_path), splitter(pattern), decoders(ranks_path)
-        at, known = None, {}
+        at, known, shift = None, {}, _shift(ranks_path)
         for block, batch, _ in _blocks(batches):
             if block != at:
-                at, known = block, _dictionary(path, folders, block)
+                at, known = block, _dictionary(path, folders, block, shift)
             pieces = _pieces_of(batch, find)
             coded = pa.array(list(chain.from_iterable(pieces)), pa.large_string()).dictionary_encode()
             words = coded.dictionary.to_pylist()

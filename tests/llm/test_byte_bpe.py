@@ -49,9 +49,9 @@ def test_dictionaries_hold_the_pieces_of_their_blocks(spark):
     docs = spark.createDataFrame([(t,) for t in texts], "text string").coalesce(1)
     path, folders = byte_bpe.dictionaries(docs, public_tokenizers.PATTERN, PATH)
     want = {p for t in texts for p in byte_bpe.splitter(public_tokenizers.PATTERN)(t) if len(p) <= byte_bpe.LONG // 4}
-    got = byte_bpe._dictionary(path, folders, 0)
+    got = byte_bpe._dictionary(path, folders, 0, byte_bpe._shift(PATH))
     assert {w: list(memoryview(b).cast("i")) for w, b in got.items()} == {w: ENC.encode_ordinary(w) for w in want}
-    assert byte_bpe._dictionary(path, folders, 1) == {}
+    assert byte_bpe._dictionary(path, folders, 1, 0) == {}
 
 
 def test_slots_of_small_rank_tables():
