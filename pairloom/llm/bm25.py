@@ -1,20 +1,24 @@
-"""Exact top-k search by BM25: an inverted index in shards, dynamic pruning by block maxima, one exact merge.
+"""Exact top-k search by BM25: an inverted index in shards, block-max WAND, exact merges with global statistics.
 
 A query is the set of a text's lower-cased (A-Z) words; a document's score is the sum over words of both of
 idf * tf (k1 + 1) / (tf + k1 (1 - b + b length / mean length)), idf = ln(1 + (N - df + 1/2) / (df + 1/2)), with N, df and the
 mean length of all documents, not of a shard. Results rank by score, rounded to 6 places, then by id.
 
 Index: a row of a written table for each shard of about 16 MB of text, with its words (hashes, ascending), postings by word
-(document number and frequency) and documents. Queries go to a table too, packed in blocks of QUERY_BLOCK with the document
-frequencies of their words. A task takes a shard, reads the query blocks one after another, and gives each query's best k of
-the shard; the merge keeps the best k of all. Memory is one shard and one query block, whatever the corpus.
+(document number and frequency) and documents. Documents of a shard are numbered by the word that each has most often, so that
+alike ones are neighbours. Queries go to a table too, packed in blocks of QUERY_BLOCK with the document frequencies of their
+words. A task takes GROUP shards at a time, reads the query blocks one after another, and gives each query's best k of the
+group. Memory is a group and a query block, whatever the corpus.
 
-Search of a shard (block-max MaxScore, document numbers in blocks of BLOCK; not WAND: no pivot is chosen and no block of a
-walked word is skipped, as whole posting lists are summed by array operations, where a pivot would be a Python step): each word's greatest contribution in the shard and
-in every block is known. Documents of the rarest words are scored first, which gives a threshold, the k-th best score. Words
-are then ordered by their greatest contribution; those whose maxima together stay below the threshold cannot lift a document
-over it alone, so only postings of the others are walked. A document's partial score, plus the block maxima of the words not
-walked, bounds its score; only those that may pass the threshold are scored in full.
+Search of a shard (block-max WAND, its pivot a block of BLOCK document numbers, as numpy works on arrays and not on single
+postings): of each of the query's words the greatest contribution in every block is known, and summed over the words they bound
+the scores in the block. The pivot is the block of the greatest bound that passes the threshold; the postings of the pivot are
+read and its documents scored in full, which lifts the threshold, and so on (a few blocks at a time). Blocks whose bound does
+not pass the threshold are skipped: none of their postings is read.
+
+Thresholds are global: shards fall into levels, by a hash, the next level having some four times as many as all before it. After each level the best
+k of each query over all shards so far are merged, and the k-th score is where the shards of the next level start from. So most
+shards see a threshold near the final one, and about k results a query leave each level, not k of each shard.
 
 Defined cases: documents of null, empty or blank text match nothing, and such queries have no result; a null id is no query,
 but a document found like others, after all ids at equal score; rows of one id are documents of their own, and queries of one
@@ -24,6 +28,7 @@ id and text are one; an empty table gives no result; other columns are ignored;
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -31,11 +36,14 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import own_buffers, shared_path, written
+from .common import own_buffers, remove, written
 
-K1, B, BLOCK, QUERY_BLOCK, SHARD_BYTES = 1.2, 0.75, 64, 256, 16 << 20
-SHARDS = "n_docs long, total long, doc_ids array<long>, lengths binary, words binary, counts binary, docs binary, tfs binary"
+K1, B, BLOCK, QUERY_BLOCK, SHARD_BYTES, GROUP, LEVELS = 1.2, 0.75, 32, 256, 16 << 20, 4, 6
+#: Scores closer than this to a threshold count as equal to it, as results are rounded to 6 places.
+MARGIN = 1e-5
+SHARDS = "n_docs long, total long, doc_ids array<long>, lengths binary, words binary, counts binary, docs binary, tfs binary, level int"
 HITS = "query_id long, query_key long, doc_id long, score double"
+PACKED = "block int, ids binary, keys binary, ends binary, words binary, df binary"
 
 
 def tokens(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -71,102 +79,108 @@ def _pieces(batches: Iterator[pa.RecordBatch], limit: int) -> Iterator[list[pa.R
         yield parts
 
 
+def level_of(shard: int) -> int:
+    """0 for three of four shards, 1 for three of four of the others, and so on."""
+    x = (shard * 0x9E3779B97F4A7C15 + 0xD6E8FEB86659FD93) & (1 << 64) - 1
+    x ^= x >> 32
+    x = x * 0xD6E8FEB86659FD93 & (1 << 64) - 1
+    x ^= x >> 32
+    return next((k for k in range(LEVELS) if x >> 2 * k & 3), LEVELS)
+
+
 def _index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    from pyspark import TaskContext
+
+    shard = TaskContext.get().partitionId() << 24
     for parts in _pieces(batches, SHARD_BYTES):
         h, bounds = tokens(pa.concat_arrays([p.column("text") for p in parts]))
         ids = pa.concat_arrays([p.column("doc_id") for p in parts])
         n = np.diff(bounds)
         words, code = np.unique(h, return_inverse=True)
-        pair, tf = np.unique(code.astype(np.int64) * len(n) + np.repeat(np.arange(len(n)), n), return_counts=True)
-        counts = np.bincount(pair // max(1, len(n)), minlength=len(words)).astype(np.int32)
-        cells = [n.astype(np.int32), words, counts, (pair % max(1, len(n))).astype(np.int32), tf.astype(np.int32)]
+        width = max(1, len(n))
+        pair, tf = np.unique(code.astype(np.int64) * width + np.repeat(np.arange(len(n)), n), return_counts=True)
+        doc = pair % width
+        # documents in the order of the word that each has most often
+        by = np.lexsort((pair // width, -tf, doc))
+        lead = np.full(len(n), -1)
+        lead[doc[by[::-1]]] = (pair // width)[by[::-1]]
+        order = np.argsort(lead, kind="stable")
+        number = np.empty(len(n), np.int64)
+        number[order] = np.arange(len(n))
+        pair = pair - doc + number[doc]
+        again = np.argsort(pair)
+        pair, tf = pair[again], tf[again]
+        counts = np.bincount(pair // width, minlength=len(words)).astype(np.int32)
+        cells = [n[order].astype(np.int32), words, counts, (pair % width).astype(np.int32), tf.astype(np.int32)]
         yield pa.RecordBatch.from_arrays(
-            [pa.array([len(n)], pa.int64()), pa.array([int(n.sum())], pa.int64()), pa.ListArray.from_arrays(pa.array([0, len(ids)], pa.int32()), ids), *(pa.array([c.tobytes()], pa.binary()) for c in cells)],
-            names=["n_docs", "total", "doc_ids", "lengths", "words", "counts", "docs", "tfs"],
+            [
+                pa.array([len(n)], pa.int64()),
+                pa.array([int(n.sum())], pa.int64()),
+                pa.ListArray.from_arrays(pa.array([0, len(ids)], pa.int32()), ids.take(pa.array(order))),
+                *(pa.array([c.tobytes()], pa.binary()) for c in cells),
+                pa.array([level_of(shard)], pa.int32()),
+            ],
+            names=["n_docs", "total", "doc_ids", "lengths", "words", "counts", "docs", "tfs", "level"],
         )
+        shard += 1
 
 
 class Shard:
     def __init__(self, row: dict, mean: float):
         ints = lambda c: np.frombuffer(row[c], np.int32)
-        self.doc_ids, self.words = row["doc_ids"], np.frombuffer(row["words"], np.uint64)
-        self.docs, tf, counts = ints("docs"), ints("tfs").astype(float), ints("counts").astype(np.int64)
+        self.words, self.docs = np.frombuffer(row["words"], np.uint64), ints("docs")
+        tf, counts = ints("tfs").astype(float), ints("counts").astype(np.int64)
         norm = K1 * (1 - B + B * ints("lengths") / mean)
         self.weight = tf * (K1 + 1) / (tf + norm[self.docs])
-        self.end = np.cumsum(counts)
-        self.first = self.end - counts
-        self.top = np.maximum.reduceat(self.weight, self.first) if len(self.words) else np.zeros(0)
-        self.n = len(self.doc_ids)
-        # postings by document, to score one in full
-        word = np.repeat(np.arange(len(self.words), dtype=np.int32), counts)
-        order = np.argsort(self.docs, kind="stable")
-        self.by_doc, self.by_weight = word[order], self.weight[order]
-        per = np.bincount(self.docs, minlength=self.n)
-        self.doc_first = np.cumsum(per) - per
-        self.doc_count = per
-        # the greatest weight of each word in each block that has it
-        cell = word.astype(np.int64) * (self.n // BLOCK + 1) + self.docs // BLOCK
-        new = np.flatnonzero(np.diff(cell, prepend=-1)) if len(cell) else np.zeros(0, np.int64)
-        self.block_top = np.maximum.reduceat(self.weight, new) if len(new) else np.zeros(0)
-        self.block_of = (self.docs[new] // BLOCK) if len(new) else np.zeros(0, np.int64)
-        per = np.bincount(word[new], minlength=len(self.words)) if len(new) else np.zeros(len(self.words), np.int64)
-        self.block_first, self.block_count = np.cumsum(per) - per, per
-        self.idf = np.zeros(len(self.words))
-
-    def full(self, docs: np.ndarray) -> np.ndarray:
-        """Scores of documents by the query's idf, which is 0 for other words."""
-        if not len(docs):
-            return np.zeros(0)
-        n = self.doc_count[docs]
-        ends = np.cumsum(n)
-        at = np.repeat(self.doc_first[docs] - ends + n, n) + np.arange(ends[-1])
-        return np.add.reduceat(self.idf[self.by_doc[at]] * self.by_weight[at], ends - n)
-
-    def search(self, words: np.ndarray, idf: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """The best k documents and scores; words are places in self.words."""
-        bound = idf * self.top[words]
-        order = np.argsort(-bound, kind="stable")
-        words, idf, bound = words[order], idf[order], bound[order]
-        counts = self.end[words] - self.first[words]
-        if not len(words):
-            return np.zeros(0, np.int64), np.zeros(0)
-        self.idf[words] = idf
-        rest = np.concatenate([np.cumsum(bound[::-1])[::-1], [0.0]])  # rest[j]: all words from j on
-        rare = np.argsort(counts, kind="stable")
-        rare = rare[: max(1, int(np.searchsorted(np.cumsum(counts[rare]), 8 * k)))]
-        first = np.unique(self._walk(words[rare], counts[rare])[0])
-        found, scores = first, self.full(first)
-        theta = np.partition(scores, len(scores) - k)[len(scores) - k] if len(scores) >= k else -1.0
-        walked = int(np.searchsorted(-rest, -(theta - 1e-5)))  # words before this one must be walked
-        walked = max(1, min(walked, len(words)))
-        at, place = self._walk(words[:walked], counts[:walked])
-        partial = np.bincount(at, weights=np.repeat(idf[:walked], counts[:walked]) * self.weight[place], minlength=self.n)
-        docs = np.flatnonzero((partial > 0) & (partial + rest[walked] > theta - 1e-5))
-        if len(docs) > 2 * k:
-            upper = partial[docs]
-            if walked < len(words):
-                n = self.block_count[words[walked:]]
-                ends = np.cumsum(n)
-                cells = np.repeat(self.block_first[words[walked:]] - ends + n, n) + np.arange(ends[-1])
-                limit = np.bincount(self.block_of[cells], weights=np.repeat(idf[walked:], n) * self.block_top[cells], minlength=self.n // BLOCK + 1)
-                upper = upper + np.minimum(limit[docs // BLOCK], rest[walked])
-            # the most promising first: their scores lift the threshold for the others
-            lead = np.setdiff1d(docs[np.argpartition(-upper, 2 * k - 1)[: 2 * k]], found)
-            found, scores = np.concatenate([found, lead]), np.concatenate([scores, self.full(lead)])
-            if len(scores) >= k:
-                theta = max(theta, np.partition(scores, len(scores) - k)[len(scores) - k])
-            docs = docs[upper > theta - 1e-5]
-        docs = np.setdiff1d(docs, found)
-        found, scores = np.concatenate([found, docs]), np.round(np.concatenate([scores, self.full(docs)]), 6)
-        self.idf[words] = 0
-        ids = np.array([np.iinfo(np.int64).max if self.doc_ids[d] is None else self.doc_ids[d] for d in found.tolist()], np.int64)
-        best = np.lexsort((ids, -scores))[:k]
-        return found[best], scores[best]
-
-    def _walk(self, words: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        ends = np.cumsum(counts)
-        place = np.repeat(self.first[words] - ends + counts, counts) + np.arange(ends[-1])
-        return self.docs[place], place
+        self.n, self.blocks = len(row["doc_ids"]), len(row["doc_ids"]) // BLOCK + 1
+        self.doc_ids = np.array([np.iinfo(np.int64).max if d is None else d for d in row["doc_ids"]], np.int64)
+        # cells: the postings of a word in a block, and their greatest weight
+        word = np.repeat(np.arange(len(self.words)), counts)
+        self.cell_first = np.flatnonzero(np.diff(word * self.blocks + self.docs // BLOCK, prepend=-1))
+        self.cell_count = np.diff(self.cell_first, append=len(self.docs))
+        self.cell_top = np.maximum.reduceat(self.weight, self.cell_first) if len(self.docs) else np.zeros(0)
+        self.cell_block = self.docs[self.cell_first] // BLOCK
+        self.word_cells = np.bincount(word[self.cell_first], minlength=len(self.words))
+        self.word_first = np.cumsum(self.word_cells) - self.word_cells
+        self.mark = np.zeros(self.blocks, bool)
+        self.read = 0
+
+    def search(self, words: np.ndarray, idf: np.ndarray, k: int, theta: float) -> tuple[np.ndarray, np.ndarray, float]:
+        """The documents whose scores may be among the best k of the query, given that k documents reach theta, with scores,
+        and the threshold after them; words are places in self.words."""
+        docs, scores = [np.zeros(0, np.int64)], [np.zeros(0)]
+        cells = _ranges(self.word_first[words], self.word_cells[words])
+        block, weight = self.cell_block[cells], np.repeat(idf, self.word_cells[words])
+        bound = np.bincount(block, weights=weight * self.cell_top[cells], minlength=self.blocks)
+        live = np.flatnonzero(bound > max(0.0, theta - MARGIN))
+        live = live[np.argsort(-bound[live], kind="stable")]
+        at, step, best = 0, 2, np.zeros(0)
+        while at < len(live) and bound[live[at]] > theta - MARGIN:
+            pivots = live[at : at + step]
+            at, step = at + step, 2 * step
+            self.mark[pivots[bound[pivots] > theta - MARGIN]] = True
+            mine = np.flatnonzero(self.mark[block])
+            self.mark[pivots] = False
+            count = self.cell_count[cells[mine]]
+            place = _ranges(self.cell_first[cells[mine]], count)
+            self.read += len(place)
+            score = np.bincount(self.docs[place], weights=np.repeat(weight[mine], count) * self.weight[place])
+            found = np.flatnonzero(score > max(0.0, theta - MARGIN))
+            docs.append(found)
+            scores.append(score[found])
+            best = np.concatenate([best, score[found]])
+            if len(best) >= k:
+                best = np.partition(best, len(best) - k)[len(best) - k :]
+                theta = max(theta, best[0])
+        docs, scores = np.concatenate(docs), np.concatenate(scores)
+        keep = scores > theta - MARGIN
+        return self.doc_ids[docs[keep]], scores[keep], theta
+
+
+def _ranges(first: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """first[0], first[0] + 1, ... (count[0] numbers), first[1], ..."""
+    ends = np.cumsum(count)
+    return np.repeat(first - ends + count, count) + np.arange(ends[-1] if len(ends) else 0)
 
 
 def _query_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -191,14 +205,15 @@ def _pack(t: pa.Table) -> pa.Table:
     ids, keys, words, df = (t.column(c).to_numpy() for c in ("query_id", "query_key", "word", "df"))
     new = np.flatnonzero((np.diff(ids, prepend=ids[0] - 1) != 0) | (np.diff(keys, prepend=keys[0] - 1) != 0))
     ends = np.concatenate([new[1:], [len(ids)]])
-    return pa.table({"ids": [ids[new].tobytes()], "keys": [keys[new].tobytes()], "ends": [ends.tobytes()], "words": [words.tobytes()], "df": [df.tobytes()]})
+    block = pa.array([t.column("block")[0].as_py()], pa.int32())
+    return pa.table({"block": block, "ids": [ids[new].tobytes()], "keys": [keys[new].tobytes()], "ends": [ends.tobytes()], "words": [words.tobytes()], "df": [df.tobytes()]})
 
 
 def top_k(docs: DataFrame, is_query: Column, k: int = 10, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """query_id, rank, doc_id, score: the best k documents of all rows for each row for which is_query holds."""
     spark = docs.sparkSession
     rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
-    index, _ = written(rows.mapInArrow(_index, SHARDS), "index")
+    index, index_path = written(rows.mapInArrow(_index, SHARDS), "index")
     n, total = index.agg(F.sum("n_docs"), F.sum("total")).first()
     mean = (total or 0) / n if n else 0.0
     if not total:
@@ -209,34 +224,71 @@ def top_k(docs: DataFrame, is_query: Column, k: int = 10, *, id_col: str = "doc_
     frequency = index.select("words", "counts").mapInArrow(_word_rows, "word long, n long").groupBy("word").agg(F.sum("n").alias("df"))
     blocks = max(1, -(-asked.count() // QUERY_BLOCK))
     block = F.pmod(F.xxhash64("query_id", "query_key"), F.lit(blocks)).cast("int")
-    packed = words.join(frequency, "word").withColumn("block", block).groupBy("block").applyInArrow(_pack, "ids binary, keys binary, ends binary, words binary, df binary")
-    path = shared_path(spark, "queries")
-    packed.write.option("compression", "zstd").parquet(path)
+    packed, packed_path = written(words.join(frequency, "word").withColumn("block", block).groupBy("block").applyInArrow(_pack, PACKED), "queries")
 
-    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import pyarrow.dataset as ds
-
-        from .warc import open_fs
-
-        store, at = open_fs(path)
-        for b in batches:
-            for row in b.to_pylist():
-                shard = Shard(row, mean)
-                for q in ds.dataset(at, filesystem=store, format="parquet").to_batches(batch_size=1):
-                    for x in q.to_pylist():
-                        ids, keys, ends, df = (np.frombuffer(x[c], np.int64) for c in ("ids", "keys", "ends", "df"))
-                        words = np.frombuffer(x["words"], np.uint64)
-                        place = np.minimum(np.searchsorted(shard.words, words), max(0, len(shard.words) - 1))
-                        known = shard.words[place] == words if len(shard.words) else np.zeros(len(words), bool)
-                        idf = np.log(1 + (n - df + 0.5) / (df + 0.5))
-                        out = []
-                        for i, (a, e) in enumerate(zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True)):
-                            mine = known[a:e]
-                            found, scores = shard.search(place[a:e][mine], idf[a:e][mine], k)
-                            out += [(int(ids[i]), int(keys[i]), shard.doc_ids[d], s) for d, s in zip(found.tolist(), scores.tolist(), strict=True)]
-                        if out:
-                            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int64(), pa.int64(), pa.int64(), pa.float64()), strict=True)], names=["query_id", "query_key", "doc_id", "score"])
-
-    hits = index.mapInArrow(search, HITS)
+    levels = sorted((r["level"] for r in index.select("level").distinct().collect()), reverse=True)
+    best, best_path = spark.createDataFrame([], HITS), None
     order = Window.partitionBy("query_id", "query_key").orderBy(F.col("score").desc(), F.col("doc_id").asc_nulls_last())
-    return hits.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "doc_id", "score")
+    for level in levels:
+        # each query block with the k-th scores that its queries have so far
+        kth = best.groupBy("query_id", "query_key").agg(F.count("*").alias("c"), F.min("score").alias("theta")).filter(F.col("c") >= k)
+        kth = kth.withColumn("block", block).groupBy("block").applyInArrow(_pack_thresholds, THRESHOLDS)
+        asking, asking_path = written(packed.join(kth, "block", "left"), "asking")
+        hits = index.filter(F.col("level") == level).mapInArrow(_searcher(asking_path, n, mean, k), HITS)
+        ranked = best.unionByName(hits).withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+        merged, merged_path = written(ranked, "best")
+        for path in (asking_path, best_path):
+            if path:
+                remove(spark, path)
+        best, best_path = merged.drop("rank"), merged_path
+    remove(spark, packed_path)
+    remove(spark, index_path)
+    return merged.select("query_id", F.col("rank").cast("int").alias("rank"), "doc_id", "score")
+
+
+THRESHOLDS = "block int, t_ids binary, t_keys binary, thetas binary"
+
+
+def _pack_thresholds(t: pa.Table) -> pa.Table:
+    cells = [pa.array([t.column(c).to_numpy().tobytes()], pa.binary()) for c in ("query_id", "query_key", "theta")]
+    return pa.table([pa.array([t.column("block")[0].as_py()], pa.int32()), *cells], names=["block", "t_ids", "t_keys", "thetas"])
+
+
+def _searcher(path: str, n: int, mean: float, k: int):
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = (row for b in batches for row in b.to_pylist())
+        while group := [Shard(row, mean) for row in islice(rows, GROUP)]:
+            yield from _search_group(group, path, n, k)
+
+    return search
+
+
+def _search_group(group: list[Shard], path: str, n: int, k: int) -> Iterator[pa.RecordBatch]:
+    """The best k of a group of shards for every query of the table at path, if they pass its threshold."""
+    import pyarrow.dataset as ds
+
+    from .warc import open_fs
+
+    store, at = open_fs(path)
+    for q in ds.dataset(at, filesystem=store, format="parquet").to_batches(batch_size=1):
+        for x in q.to_pylist():
+            ids, keys, ends, df = (np.frombuffer(x[c], np.int64) for c in ("ids", "keys", "ends", "df"))
+            words, idf = np.frombuffer(x["words"], np.uint64), np.log(1 + (n - df + 0.5) / (df + 0.5))
+            thetas = dict(zip(zip(*(np.frombuffer(x[c] or b"", np.int64).tolist() for c in ("t_ids", "t_keys")), strict=True), np.frombuffer(x["thetas"] or b"").tolist(), strict=True))
+            places = [np.minimum(np.searchsorted(s.words, words), max(0, len(s.words) - 1)) for s in group]
+            known = [s.words[p] == words if len(s.words) else np.zeros(len(words), bool) for s, p in zip(group, places, strict=True)]
+            out = []
+            for i, (a, e) in enumerate(zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True)):
+                theta = thetas.get((int(ids[i]), int(keys[i])), -1.0)
+                docs, scores = np.zeros(0, np.int64), np.zeros(0)
+                for s, place, mine in zip(group, places, known, strict=True):
+                    has = mine[a:e]
+                    d, score, theta = s.search(place[a:e][has], idf[a:e][has], k, theta)
+                    docs, scores = np.concatenate([docs, d]), np.concatenate([scores, np.round(score, 6)])
+                    top = np.lexsort((docs, -scores))[:k]
+                    docs, scores = docs[top], scores[top]
+                    if len(docs) == k:
+                        theta = max(theta, scores[-1])
+                out += [(int(ids[i]), int(keys[i]), None if d == np.iinfo(np.int64).max else d, v) for d, v in zip(docs.tolist(), scores.tolist(), strict=True)]
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int64(), pa.int64(), pa.int64(), pa.float64()), strict=True)], names=["query_id", "query_key", "doc_id", "score"])
