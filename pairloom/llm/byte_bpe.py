@@ -37,7 +37,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
-from .common import shared_path
+from .common import folder_of, shared_path
 
 LONG, BUCKETS, BLOCK_BYTES, STEP_BYTES = 256, 16384, 24 << 20, 4 << 20
 #: Factors of the hashes of a pair of ranks, slots of the table, the rank of none, and the part that marks an end.
@@ -263,11 +263,6 @@ def _sha256(strings: pa.Array, ids: pa.Array, ends: np.ndarray, drop: int) -> li
     return [hashlib.sha256(data[i : max(i, j - drop)]).hexdigest() for i, j in zip(at[:-1], at[1:], strict=True)]
 
 
-def _folder(block: int | Column, folders: int) -> int | Column:
-    """Where a block's dictionary lies: consecutive partitions and places go to different folders."""
-    return (block % (1 << 24) + 31 * ((block - block % (1 << 24)) / (1 << 24)).cast("long")) % folders if isinstance(block, Column) else (block % (1 << 24) + 31 * (block >> 24)) % folders
-
-
 def _shift(ranks_path: str) -> int:
     """Ids below 2^16 travel as shorts, less this."""
     return 1 << 15 if max(read_ranks(ranks_path).values(), default=0) < 1 << 16 else 0
@@ -287,7 +282,7 @@ def dictionaries(docs: DataFrame, pattern: str, ranks_path: str) -> tuple[str, i
         ids = F.transform(ids, lambda x: (x - shift).cast("short"))
     coded = pieces.select("piece", "last", ids.alias("ids"))
     found = dealt.join(coded.hint("shuffle_hash"), (F.col("word") == F.col("piece")) & (F.col("block") <= F.col("last"))).select("block", "word", "ids")
-    joined = found.repartition(_folder(F.col("block"), folders)).withColumn("folder", _folder(F.col("block"), folders))
+    joined = found.repartition(folder_of(F.col("block"), folders)).withColumn("folder", folder_of(F.col("block"), folders))
     path = shared_path(docs.sparkSession, "bpe")
     joined.sortWithinPartitions("folder", "block").write.options(**{"compression": "zstd", "parquet.block.size": str(8 << 20)}).partitionBy("folder").parquet(path)
     return path, folders
@@ -299,7 +294,7 @@ def _dictionary(path: str, folders: int, block: int, shift: int) -> dict[str, by
 
     from .warc import open_fs
 
-    store, at = open_fs(f"{path}/folder={_folder(block, folders)}")
+    store, at = open_fs(f"{path}/folder={folder_of(block, folders)}")
     if store.get_file_info(at).type == fs.FileType.NotFound:
         return {}
     out: dict[str, bytes] = {}

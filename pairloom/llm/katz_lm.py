@@ -13,7 +13,7 @@ none of h's followers is discounted, as nothing would be left for the others.
 How it is distributed. Texts become blocks of about 8 MB, written once as word numbers and a list of word hashes; all
 passes read this table. For each order, a block sends the hash of each of its distinct n-grams once with its training count;
 keys are dealt out in ranges (a bucket for each few MB of text), summed there, and the sums return to the blocks in the same
-order (a folder of a written table for each block). A block thus holds only what it needs, an n-gram of any frequency is one
+order (in a written table, by block). A block thus holds only what it needs, an n-gram of any frequency is one
 key for each block, and sums over the followers of a history are made where its n-grams are, by the one block that owns each,
 and exchanged in the same way. Every pass reads and writes tables in the shared folder.
 
@@ -32,7 +32,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import own_buffers, shared_path, written
+from .common import folder_of, own_buffers, shared_path, written
 
 BLOCK_BYTES, BUCKET_BYTES, DISCOUNTED = 8 << 20, 4 << 20, 5
 _END, _START = np.uint64(0x9AE16A3B2F90404F), np.uint64(0xC949D7C7509E6557)
@@ -50,6 +50,15 @@ def unplanes(b: bytes, dtype) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(b, np.uint8).reshape(n, -1).T).view(dtype).ravel()
 
 
+def short_planes(x: np.ndarray) -> bytes:
+    """planes() of doubles without their two lowest bytes: 36 bits of fraction, errors below 2e-11 of a value."""
+    return np.ascontiguousarray(x).view(np.uint8).reshape(-1, 8).T[2:].tobytes()
+
+
+def short_unplanes(b: bytes) -> np.ndarray:
+    return unplanes(bytes(len(b) // 3) + b, np.float64)
+
+
 def held_out(id_col: Column, fold: int = 2, folds: int = 7) -> Column:
     return F.crc32(F.coalesce(id_col.cast("string"), F.lit("")).cast("binary")) % folds == fold
 
@@ -111,12 +120,15 @@ class Block:
         word = np.ones(self.size, bool)
         word[self.start] = word[self.start + full - 1] = False
         self.hash[word] = vocabulary[words]
+        # each token's place in the vocabulary, which ends with the end
+        self.vocabulary, code = np.append(vocabulary, _END), np.full(self.size, len(vocabulary))
+        code[word] = words
+        self.word_code, self.indexed = np.delete(code, self.start), {}
         self.depth = np.arange(self.size) - np.repeat(self.start, full)  # tokens before it in its text, the mark too
         self.train = ~self.held[self.doc]
 
     def keys(self, n: int) -> np.ndarray:
-        k = self.hash * _P2
-        k ^= k >> np.uint64(31)
+        k = _mixed(self.hash)
         for j in range(1, n):
             k[j:] ^= (self.hash[: self.size - j] + np.uint64(j)) * (_P1 + np.uint64(2 * j))
             k *= _P2
@@ -127,6 +139,38 @@ class Block:
         """Places where an n-gram ends: tokens, with n - 1 others (the mark too) before them."""
         return np.flatnonzero(self.depth >= max(1, n - 1))
 
+    def index(self, n: int) -> tuple[np.ndarray, np.ndarray]:
+        """The distinct keys, ascending, of the n-grams that end at at(n), and each place's number among them. Single words
+        are sorted by the vocabulary, not by place."""
+        if n not in self.indexed:
+            if n == 1:
+                used = np.bincount(self.word_code, minlength=len(self.vocabulary)) > 0
+                u, number = np.unique(_mixed(self.vocabulary[used]), return_inverse=True)
+                full = np.zeros(len(used), np.int64)
+                full[used] = number
+                self.indexed[n] = u, full[self.word_code]
+            else:
+                self.indexed[n] = np.unique(self.keys(n)[self.at(n)], return_inverse=True)
+        return self.indexed[n]
+
+    def histories(self, n: int) -> tuple[np.ndarray, np.ndarray]:
+        """The same for the n - 1 tokens before each place of at(n), from the index of their order, without a sort."""
+        u, number = self.index(n - 1)
+        code = np.full(self.size, -1)
+        code[self.at(n - 1)] = number
+        code = code[self.at(n) - 1]
+        if n == 2:  # the start mark is a history, and no token
+            start = _mixed(np.array([_START]))
+            place = int(np.searchsorted(u, start[0]))
+            u, code = np.insert(u, place, start), np.where(code < 0, place, code + (code >= place))
+        present = np.bincount(code, minlength=len(u)) > 0
+        return u[present], (np.cumsum(present) - 1)[code]
+
+
+def _mixed(hashes: np.ndarray) -> np.ndarray:
+    k = hashes * _P2
+    return k ^ (k >> np.uint64(31))
+
 
 def bucket_of(keys: np.ndarray, buckets: int) -> np.ndarray:
     """Ranges of keys, in their order."""
@@ -186,7 +230,7 @@ def _sum_counts(t: pa.Table) -> pa.Table:
 def _sum_followers(t: pa.Table) -> pa.Table:
     """For each history: discounted mass over 1 - the followers' lower-order mass, or -1 over that where none is discounted."""
     blocks, keys, vals = _bucket_rows(t)
-    both = [unplanes(v[: len(v) // 2], np.float64) for v in vals], [unplanes(v[len(v) // 2 :], np.float64) for v in vals]
+    both = [short_unplanes(v[: len(v) // 2]) for v in vals], [short_unplanes(v[len(v) // 2 :]) for v in vals]
     flat = np.concatenate(keys)
     order = np.argsort(flat, kind="stable")
     s = flat[order]
@@ -196,7 +240,7 @@ def _sum_followers(t: pa.Table) -> pa.Table:
     answer = np.empty(len(s))
     answer[order] = (np.where(mass > 0, mass, -1.0) / np.maximum(1 - lower, 1e-300))[group]
     cut = np.cumsum([0, *map(len, both[0])])
-    return _answers(blocks, t.column("bucket")[0].as_py(), [planes(answer[a:b]) for a, b in zip(cut[:-1], cut[1:], strict=True)])
+    return _answers(blocks, t.column("bucket")[0].as_py(), [short_planes(answer[a:b]) for a, b in zip(cut[:-1], cut[1:], strict=True)])
 
 
 class Model:
@@ -208,25 +252,21 @@ class Model:
         self.backoff: list[str] = []
         self.discounts: list[list[float]] = []
         self.n = self.v = self.documents = 0
+        self.folders = int(blocks.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
     def view(self) -> dict:
-        return {"order": self.order, "counts": list(self.counts), "backoff": list(self.backoff), "discounts": list(self.discounts), "n": self.n, "v": self.v, "documents": self.documents}
+        return {"order": self.order, "folders": self.folders, "counts": list(self.counts), "backoff": list(self.backoff), "discounts": list(self.discounts), "n": self.n, "v": self.v, "documents": self.documents}
 
 
-def _answer(path: str, block: int, dtype) -> np.ndarray:
+def _answer(path: str, folders: int, block: int, decode) -> np.ndarray:
     import pyarrow.dataset as ds
 
     from .warc import open_fs
 
-    store, at = open_fs(f"{path}/block={block}")
-    t = ds.dataset(at, filesystem=store, format="parquet").to_table(columns=["bucket", "vals"])
+    store, at = open_fs(f"{path}/folder={folder_of(block, folders)}")
+    t = ds.dataset(at, filesystem=store, format="parquet").to_table(columns=["bucket", "vals"], filter=ds.field("block") == block)
     rows = sorted(zip(t.column("bucket").to_pylist(), t.column("vals").to_pylist(), strict=True))
-    return np.concatenate([unplanes(v, dtype) for _, v in rows])
-
-
-def distinct(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    u, inverse = np.unique(keys, return_inverse=True)
-    return u, inverse
+    return np.concatenate([decode(v) for _, v in rows])
 
 
 def discount(counts_of_counts: list[int]) -> list[float]:
@@ -250,8 +290,8 @@ def evaluate(b: Block, block: int, m: dict, upto: int) -> tuple[np.ndarray, list
     p = np.zeros(b.size)
     for n in range(1, len(m["counts"]) + 1):
         at = b.at(n)
-        u, inverse = distinct(b.keys(n)[at])
-        got = _answer(m["counts"][n - 1], block, np.uint64)
+        u, inverse = b.index(n)
+        got = _answer(m["counts"][n - 1], m["folders"], block, lambda v: unplanes(v, np.uint64))
         c, own = np.zeros(b.size, np.int64), np.zeros(b.size, bool)
         c[at] = (got >> np.uint64(1)).astype(np.int64)[inverse]
         lead = np.zeros(len(u), np.int64)
@@ -265,8 +305,8 @@ def evaluate(b: Block, block: int, m: dict, upto: int) -> tuple[np.ndarray, list
     for n in range(2, upto + 1):
         at = b.at(n)
         c, hist = counts[n - 1][at], counts[n - 2][at - 1]
-        _, inverse = distinct(history(b, n)[at])
-        v = _answer(m["backoff"][n - 2], block, np.float64)[inverse]
+        _, inverse = b.histories(n)
+        v = _answer(m["backoff"][n - 2], m["folders"], block, short_unplanes)[inverse]
         z = np.where(v > 0, hist, hist + 1)
         d = np.array(m["discounts"][n - 2])[np.where(c <= DISCOUNTED, c, 0)]
         with np.errstate(divide="ignore", invalid="ignore"):
@@ -274,19 +314,13 @@ def evaluate(b: Block, block: int, m: dict, upto: int) -> tuple[np.ndarray, list
     return p, counts, flags
 
 
-def history(b: Block, n: int) -> np.ndarray:
-    """Hash of the n - 1 tokens before each place."""
-    k = b.keys(n - 1)
-    return np.concatenate([np.zeros(1, np.uint64), k[:-1]])
-
-
 def _send_counts(n: int, buckets: int):
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
                 b = Block(row)
                 at = b.at(n)
-                u, inverse = distinct(b.keys(n)[at])
+                u, inverse = b.index(n)
                 yield _rows(row["block"], u, np.bincount(inverse[b.train[at]], minlength=len(u)).astype(np.uint32), buckets)
 
     return rows
@@ -299,28 +333,46 @@ def _send_followers(n: int, m: dict, buckets: int):
                 b = Block(row)
                 p, counts, flags = evaluate(b, row["block"], m, n - 1)
                 at = b.at(n)
-                u, inverse = distinct(history(b, n)[at])
+                u, inverse = b.histories(n)
                 own = flags[n - 1][at]
                 c = counts[n - 1][at][own]
                 d = np.array(m["discounts"][n - 2])[np.where(c <= DISCOUNTED, c, 0)]
                 mass = np.bincount(inverse[own], weights=(1 - d) * c, minlength=len(u))
                 lower = np.bincount(inverse[own], weights=p[at][own], minlength=len(u))
                 out = _rows(row["block"], u, np.stack([mass, lower], axis=1).view("V16").ravel() if len(u) else np.zeros(0, "V16"), buckets)
-                vals = [b"".join(planes(x) for x in (v[:, 0].copy(), v[:, 1].copy())) for v in (unplanes(x, "V16").view(np.float64).reshape(-1, 2) for x in out.column("vals").to_pylist())]
+                vals = [b"".join(short_planes(x) for x in (v[:, 0].copy(), v[:, 1].copy())) for v in (unplanes(x, "V16").view(np.float64).reshape(-1, 2) for x in out.column("vals").to_pylist())]
                 yield pa.RecordBatch.from_arrays([out.column(0), out.column(1), out.column(2), pa.array(vals, pa.binary())], names=["block", "bucket", "keys", "vals"])
 
     return rows
 
 
-def _exchange(sent: DataFrame, reduce) -> str:
-    path = shared_path(sent.sparkSession, "lm")
-    sent.groupBy("bucket").applyInArrow(reduce, BACK).repartition("block").write.option("compression", "zstd").partitionBy("block").parquet(path)
+def _exchange(sent: DataFrame, reduce, folders: int) -> str:
+    """Writes what the reducers answer, in a bounded number of folders, blocks in order and a row group for some of them."""
+    spark = sent.sparkSession
+    # Shuffle files of exchanges whose answers are written go when the JVM finds them unused.
+    spark._jvm.System.gc()
+    path = shared_path(spark, "lm")
+    back = sent.groupBy("bucket").applyInArrow(reduce, BACK).repartition(folder_of(F.col("block"), folders)).withColumn("folder", folder_of(F.col("block"), folders))
+    back.sortWithinPartitions("folder", "block").write.options(**{"compression": "zstd", "parquet.block.size": str(8 << 20)}).partitionBy("folder").parquet(path)
     return path
 
 
+def _add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    total = np.zeros(DISCOUNTED + 3, np.int64)
+    for b in batches:
+        for v in b.column("vals").to_pylist():
+            total += np.frombuffer(v, np.int64)
+    yield pa.RecordBatch.from_arrays([pa.array(range(len(total)), pa.int32()), pa.array(total)], names=["k", "n"])
+
+
 def _stats(spark, path: str) -> np.ndarray:
-    rows = spark.read.schema("bucket int, vals binary").parquet(f"{path}/block=-1").select("vals").collect()
-    return np.sum([np.frombuffer(r["vals"], np.int64) for r in rows], axis=0) if rows else np.zeros(DISCOUNTED + 3, np.int64)
+    """Sums over all buckets, added up where they lie."""
+    rows = spark.read.schema("block long, bucket int, vals binary, folder int").parquet(path).filter("block = -1").select("vals")
+    sums = rows.mapInArrow(_add_up, "k int, n long").groupBy("k").agg(F.sum("n").alias("n")).collect()
+    out = np.zeros(DISCOUNTED + 3, np.int64)
+    for r in sums:
+        out[r["k"]] = r["n"]
+    return out
 
 
 def train(docs: DataFrame, order: int = 2, *, id_col: str = "doc_id", text_col: str = "text", held: Column | None = None) -> Model | None:
@@ -335,13 +387,13 @@ def train(docs: DataFrame, order: int = 2, *, id_col: str = "doc_id", text_col:
     m = Model(blocks, order, max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-(size or 0) // BUCKET_BYTES)))
     m.documents = documents
     for n in range(1, order + 1):
-        m.counts.append(_exchange(blocks.select("*").mapInArrow(_send_counts(n, m.buckets), SENT), _sum_counts))
+        m.counts.append(_exchange(blocks.select("*").mapInArrow(_send_counts(n, m.buckets), SENT), _sum_counts, m.folders))
         stats = _stats(spark, m.counts[-1])
         if n == 1:
             m.v, m.n = int(stats[0]), int(stats[1])
         else:
             m.discounts.append(discount(stats[2:].tolist()))
-            m.backoff.append(_exchange(blocks.mapInArrow(_send_followers(n, m.view(), m.buckets), SENT), _sum_followers))
+            m.backoff.append(_exchange(blocks.mapInArrow(_send_followers(n, m.view(), m.buckets), SENT), _sum_followers, m.folders))
     return m
 
 
