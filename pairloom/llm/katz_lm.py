@@ -10,7 +10,7 @@ in training texts. With Good-Turing discounts d(r) for counts r of 1 to 5,
 where alpha(h) is what makes the sum over all words, and one that was never seen, exactly 1. Z(h) is c(h), or c(h) + 1 where
 none of h's followers is discounted, as nothing would be left for the others.
 
-How it is distributed. Texts become blocks of about 8 MB, written once as word numbers and a list of word hashes; all
+How it is distributed. Texts become blocks of about 5 MB, written once as word numbers and a list of word hashes; all
 passes read this table. For each order, a block sends the hash of each of its distinct n-grams once with its training count;
 keys are dealt out in ranges (a bucket for each few MB of text), summed there, and the sums return to the blocks in the same
 order (in a written table, by block). A block thus holds only what it needs, an n-gram of any frequency is one
@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 
 from .common import folder_of, own_buffers, shared_path, written
 
-BLOCK_BYTES, BUCKET_BYTES, DISCOUNTED = 8 << 20, 4 << 20, 5
+BLOCK_BYTES, BUCKET_BYTES, DISCOUNTED = 5 << 20, 4 << 20, 5
 _END, _START = np.uint64(0x9AE16A3B2F90404F), np.uint64(0xC949D7C7509E6557)
 _P1, _P2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 BLOCKS = "block long, doc_ids array<long>, held array<boolean>, n_words array<int>, codes binary, vocabulary binary"
