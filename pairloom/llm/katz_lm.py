@@ -115,16 +115,16 @@ class Block:
         self.start = np.cumsum(full) - full  # places of the start marks
         self.size = int(full.sum())
         self.hash = np.empty(self.size, np.uint64)
-        self.doc = np.repeat(np.arange(len(n)), full)
+        self.doc = np.repeat(np.arange(len(n), dtype=np.int32), full)
         self.hash[self.start], self.hash[self.start + full - 1] = _START, _END
         word = np.ones(self.size, bool)
         word[self.start] = word[self.start + full - 1] = False
         self.hash[word] = vocabulary[words]
         # each token's place in the vocabulary, which ends with the end
-        self.vocabulary, code = np.append(vocabulary, _END), np.full(self.size, len(vocabulary))
+        self.vocabulary, code = np.append(vocabulary, _END), np.full(self.size, len(vocabulary), np.int32)
         code[word] = words
         self.word_code, self.indexed = np.delete(code, self.start), {}
-        self.depth = np.arange(self.size) - np.repeat(self.start, full)  # tokens before it in its text, the mark too
+        self.depth = np.arange(self.size, dtype=np.int32) - np.repeat(self.start.astype(np.int32), full)  # tokens before it in its text, the mark too
         self.train = ~self.held[self.doc]
 
     def keys(self, n: int) -> np.ndarray:
@@ -146,17 +146,18 @@ class Block:
             if n == 1:
                 used = np.bincount(self.word_code, minlength=len(self.vocabulary)) > 0
                 u, number = np.unique(_mixed(self.vocabulary[used]), return_inverse=True)
-                full = np.zeros(len(used), np.int64)
+                full = np.zeros(len(used), np.int32)
                 full[used] = number
                 self.indexed[n] = u, full[self.word_code]
             else:
-                self.indexed[n] = np.unique(self.keys(n)[self.at(n)], return_inverse=True)
+                u, number = np.unique(self.keys(n)[self.at(n)], return_inverse=True)
+                self.indexed[n] = u, number.astype(np.int32)
         return self.indexed[n]
 
     def histories(self, n: int) -> tuple[np.ndarray, np.ndarray]:
         """The same for the n - 1 tokens before each place of at(n), from the index of their order, without a sort."""
         u, number = self.index(n - 1)
-        code = np.full(self.size, -1)
+        code = np.full(self.size, -1, np.int32)
         code[self.at(n - 1)] = number
         code = code[self.at(n) - 1]
         if n == 2:  # the start mark is a history, and no token
@@ -164,7 +165,7 @@ class Block:
             place = int(np.searchsorted(u, start[0]))
             u, code = np.insert(u, place, start), np.where(code < 0, place, code + (code >= place))
         present = np.bincount(code, minlength=len(u)) > 0
-        return u[present], (np.cumsum(present) - 1)[code]
+        return u[present], (np.cumsum(present, dtype=np.int32) - np.int32(1))[code]
 
 
 def _mixed(hashes: np.ndarray) -> np.ndarray:
@@ -294,9 +295,12 @@ def evaluate(b: Block, block: int, m: dict, upto: int) -> tuple[np.ndarray, list
         got = _answer(m["counts"][n - 1], m["folders"], block, lambda v: unplanes(v, np.uint64))
         c, own = np.zeros(b.size, np.int64), np.zeros(b.size, bool)
         c[at] = (got >> np.uint64(1)).astype(np.int64)[inverse]
-        lead = np.zeros(len(u), np.int64)
-        lead[inverse[::-1]] = at[::-1]  # one place for each distinct n-gram
-        own[lead[(got & np.uint64(1)).astype(bool)]] = True
+        if n == upto + 1:
+            lead = np.zeros(len(u), np.int64)
+            lead[inverse[::-1]] = at[::-1]  # one place for each distinct n-gram
+            own[lead[(got & np.uint64(1)).astype(bool)]] = True
+            del lead
+        del got
         if n == 1:
             c[b.start] = m["documents"]
         counts.append(c)
