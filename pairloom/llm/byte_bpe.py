@@ -39,7 +39,7 @@ from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from .common import folder_of, shared_path
 
-LONG, BUCKETS, BLOCK_BYTES, STEP_BYTES = 256, 16384, 24 << 20, 4 << 20
+LONG, BUCKETS, BLOCK_BYTES, STEP_BYTES = 256, 16384, 24 << 20, 2 << 20
 #: Factors of the hashes of a pair of ranks, slots of the table, the rank of none, and the part that marks an end.
 HASH_A, HASH_B, SLOTS, NONE, MARK = 40503, 30011, 1 << 17, (1 << 31) - 1, (1 << 20) - 1
 #: White space as the tokenizer's regular expressions have it.
@@ -237,6 +237,7 @@ def _list_pieces(pattern: str):
                     part = words[k : k + 50_000]
                     yield pa.RecordBatch.from_arrays([pa.array([block] * len(part), pa.int64()), pa.array(part, pa.string())], names=["block", "word"])
                 seen = set()
+        pa.default_memory_pool().release_unused()
 
     return rows
 
@@ -335,5 +336,6 @@ def encode_documents(docs: DataFrame, ranks_path: str, pattern: str, *, id_col:
                 cols.append(pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), ids))
                 names.append("ids")
             yield pa.RecordBatch.from_arrays(cols, names=names)
+        pa.default_memory_pool().release_unused()
 
     return docs.mapInArrow(rows, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids)
