@@ -7,9 +7,9 @@
    enumerated: each chunk gives 4 keys, each with one symbol left out. So every pair under the distance threshold shares
    a key; so do most pairs beyond, which are accepted up to 24 errors. Two sets of similarity 0.85 share no key or are not
    accepted with probability 1e-9, of 0.8 with 5e-8.
-3. Groups of nodes under one key. Only what is linked to what matters, not each pair, so members are first compared with
-   two leaders of their group, the smallest and the largest, and what links gets a common label by a few steps of hooking
-   (nodes of one label are connected; labels need not be whole components). Members of groups that still have several
+3. Groups of nodes under one key. Only what is linked to what matters, not each pair, so two rounds compare members with
+   one leader of their group, the smallest and then the largest, and what links gets a common label by a few steps of
+   hooking (nodes of one label are connected; labels need not be whole components). Members of groups that still have several
    labels are dealt anew, by the rarest shingles of their sets (prefix filter: sets that link share one of them), which
    parts copies that have each been changed much, once more compared with a leader, and at last pair by pair in blocks of
    bounded size, from which only pairs of different labels go on that are within the distance and overlap enough by halves
@@ -238,9 +238,14 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
         pairs = pairs.join(live.select(F.col("node").alias("b"), F.col("n").alias("n_b"), F.col("sig").alias("sig_b")), "b")
         return pairs.mapInArrow(lambda it: _close(it, size, of), "a long, b long")
 
-    # One round with two leaders: the smallest and the largest member of each group.
-    leaders = groups.select(F.explode(F.array("first", "last")).alias("a"), F.col("node").alias("b"))
-    links, links_path = written(confirmed(close(leaders), sets, size, of), "confirmed")
+    # Rounds with leaders: the smallest member of each group, then the largest of groups that still have several labels.
+    links, links_path = written(confirmed(close(groups.select(F.col("first").alias("a"), F.col("node").alias("b"))), sets, size, of), "confirmed")
+    hooked, hooked_path = written(_hooked(links), "hooked")
+    labelled = _label(groups.select("key", "node", "last"), hooked)
+    second = labelled.join(_open(labelled), "key").select(F.col("last").alias("a"), F.col("node").alias("b"))
+    more, second_path = written(confirmed(close(second), sets, size, of), "confirmed")
+    links = links.unionByName(more)
+    remove(spark, hooked_path)
     hooked, hooked_path = written(_hooked(links), "hooked")
 
     # What is left: members of groups of several components, and of their sets the prefixes.
@@ -267,7 +272,7 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     residual = dealt.groupBy("key", "i", "j").applyInArrow(_block_pairs(size, of), "a long, b long").distinct()
     last, last_path = written(confirmed(residual, sets, size, of), "confirmed")
     comp, _ = written(components(links.unionByName(last)), "components")
-    for path in (links_path, more_path, last_path, hooked_path, rare_path, sets_path):
+    for path in (links_path, second_path, more_path, last_path, hooked_path, rare_path, sets_path):
         remove(spark, path)
 
     by_fp = nodes.join(comp, "node", "left").select("fp", F.coalesce("component", "node").alias("component"))
