@@ -34,3 +34,8 @@ def source_name(program: Column) -> Column:
 
 def size_tag(name: Column) -> Column:
     return F.regexp_extract(name, r"_(\d+[km]?)_\d+$", 1)
+
+
+def short_name(graph: Column) -> Column:
+    """A graph's name with its kind as a letter, for narrow tables."""
+    return F.regexp_replace(F.regexp_replace(graph, "general_sparse_", "g_"), "bipartite_sparse_", "b_")

@@ -9,13 +9,15 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_root(spark: SparkSession) -> str:
-    """The session's checkpoint folder. Only where it names none (tests) is a local one set."""
+    """The session's checkpoint folder. Only a local session that names none (tests) gets one set; a cluster has to name it."""
     conf = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if conf:
         return conf.rstrip("/")
     known = spark.sparkContext._jsc.sc().getCheckpointDir()
     if known.isDefined():
         return known.get().rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
     root = "file://" + tempfile.mkdtemp(prefix="pairloom-")
     spark.sparkContext.setCheckpointDir(root)
     return root

@@ -1,6 +1,6 @@
 """Maximum matchings of graphs of any size in components of bounded size.
 
-General graphs are cut into connected components, and a kernel solves each in a task of its own; the optimum is the sum over
+General graphs are cut into connected components, and a kernel solves each within one task (small ones share a call); the optimum is the sum over
 components. Bipartite graphs can also be solved by rounds over the whole graph (`bipartite_rounds`), which no component's
 size limits.
 """
@@ -12,6 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.storage import written
 from . import kernels
 from .components import components
 
@@ -46,10 +47,24 @@ def _general(strategy: str, init: str):
     return kernel
 
 
+def _by_buckets(parts: DataFrame, kernel, schema: str) -> DataFrame:
+    """The kernel on every component. Components are dealt out in hashed buckets, some to a call, as most are tiny and a call
+    costs more than they do; a component is never split."""
+    buckets = 16 * int(parts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+    def every(t: pa.Table) -> pa.Table:
+        t = t.drop_columns(["bucket"]).sort_by("comp")
+        comp = t.column("comp").to_numpy()
+        cuts = [*np.flatnonzero(np.diff(comp, prepend=comp[0] - 1)).tolist(), len(comp)]
+        return pa.concat_tables([kernel(t.slice(a, b - a)) for a, b in zip(cuts[:-1], cuts[1:], strict=True)])
+
+    return parts.withColumn("bucket", F.pmod(F.xxhash64("comp"), F.lit(buckets))).groupBy("bucket").applyInArrow(every, schema)
+
+
 def mates(edges: DataFrame, strategy: str = "phased", init: str = "greedy-md") -> DataFrame:
     """comp, id, mate (null: none), label of the last search, for every vertex of a general graph with an edge."""
     _check(strategy, init)
-    return with_components(edges).groupBy("comp").applyInArrow(_general(strategy, init), "comp long, id long, mate long, label string")
+    return _by_buckets(with_components(edges), _general(strategy, init), "comp long, id long, mate long, label string")
 
 
 def max_matching(edges: DataFrame, strategy: str = "phased", init: str = "greedy-md") -> DataFrame:
@@ -87,17 +102,17 @@ def _layered(init: str):
 def mates_bipartite(edges: DataFrame, init: str = "greedy-md") -> DataFrame:
     """comp, side, id, mate, reached (by an alternating path from a free left vertex), for every vertex with an edge."""
     _check("layered", init)
-    return _two_sided(edges).groupBy("comp").applyInArrow(_layered(init), "comp long, side string, id long, mate long, reached boolean")
+    return _by_buckets(_two_sided(edges), _layered(init), "comp long, side string, id long, mate long, reached boolean")
 
 
 def max_matching_bipartite(edges: DataFrame, init: str = "greedy-md", kernel_edges: int = KERNEL_EDGES) -> DataFrame:
     """l, r of a maximum matching. Components of at most kernel_edges edges are solved in a task each, larger ones by rounds."""
     from .bipartite_rounds import matching_by_rounds
 
-    parts = _two_sided(edges)
+    parts, _ = written(_two_sided(edges), "parts")
     sizes = parts.groupBy("comp").agg(F.count("*").alias("n"))
     large = sizes.filter(F.col("n") > kernel_edges).select("comp")
-    small = parts.join(large, "comp", "left_anti").groupBy("comp").applyInArrow(_layered(init), "comp long, side string, id long, mate long, reached boolean")
+    small = _by_buckets(parts.join(large, "comp", "left_anti"), _layered(init), "comp long, side string, id long, mate long, reached boolean")
     out = small.filter("side = 'left' AND mate IS NOT NULL").select(F.col("id").alias("l"), F.col("mate").alias("r"))
     if large.isEmpty():
         return out

@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import threading
 import time
+import uuid
+from contextlib import contextmanager
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.report import lower_median, percentage, ratio, shown
+from ..functions.report import lower_median, percentage, ratio, short_name, shown, size_tag
 
 #: strategy, kind of graph, bound of growth with vertices and edges, whether left out over SLOW_LIMIT vertices. The phased ones
 #: have no better bound than V E, but take many paths in a phase, and stay in plans of any size.
@@ -21,26 +25,63 @@ ALGORITHMS = (
 )
 MODES = ("none", "greedy", "greedy-md")
 SLOW_LIMIT = 200_000
+#: The language whose programs are left out of plans on more vertices than this, unless algorithms are asked for by name.
+SLOW_LANGUAGE, LANGUAGE_LIMIT = "python", 2_000_000
 
 
 def registry(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(list(ALGORITHMS), "algo string, kind string, cost string, slow boolean")
 
 
-def plan(graphs: DataFrame, modes: tuple[str, ...] = MODES, algos: tuple[str, ...] | None = None) -> DataFrame:
-    """graph, kind, vertices x algorithms of the kind x modes."""
+def plan(
+    graphs: DataFrame,
+    modes: tuple[str, ...] = MODES,
+    algos: tuple[str, ...] | None = None,
+    langs: tuple[str, ...] | None = None,
+    sizes: tuple[str, ...] | None = None,
+    names: tuple[str, ...] | None = None,
+) -> DataFrame:
+    """graph, kind, vertices x algorithms of the kind (x languages, if given) x modes; of graphs with one of the size tags and
+    one of the names asked for."""
     spark = graphs.sparkSession
     unknown = set(modes) - set(MODES)
     if unknown:
         raise ValueError(f"unknown modes {sorted(unknown)}")
+    if sizes is not None:
+        graphs = graphs.filter(size_tag(F.col("graph")).isin(*sizes))
+    if names is not None:
+        graphs = graphs.filter(F.col("graph").isin(*names))
     reg = registry(spark) if algos is None else registry(spark).filter(F.col("algo").isin(*algos))
     m = spark.createDataFrame([(x,) for x in modes], "mode string")
-    return graphs.join(F.broadcast(reg), "kind").crossJoin(F.broadcast(m)).select("graph", "kind", "vertices", "algo", "cost", "slow", "mode")
+    jobs = graphs.join(F.broadcast(reg), "kind").crossJoin(F.broadcast(m))
+    if langs is not None:
+        jobs = jobs.crossJoin(F.broadcast(spark.createDataFrame([(x,) for x in langs], "lang string")))
+    return jobs.select("graph", "kind", "vertices", "algo", "cost", "slow", *(["lang"] if langs is not None else []), "mode")
 
 
 def feasible(jobs: DataFrame, with_slow: bool = False, limit: int = SLOW_LIMIT) -> DataFrame:
-    """Without the slow ones on more than `limit` vertices."""
-    return jobs if with_slow else jobs.filter(~F.col("slow") | (F.col("vertices") <= limit))
+    """Without the slow algorithms on more than `limit` vertices, nor the slow language on more than LANGUAGE_LIMIT."""
+    if with_slow:
+        return jobs
+    if "lang" in jobs.columns:
+        jobs = jobs.filter((F.col("lang") != SLOW_LANGUAGE) | (F.col("vertices") <= LANGUAGE_LIMIT))
+    return jobs.filter(~F.col("slow") | (F.col("vertices") <= limit))
+
+
+def max_vertices(graphs: DataFrame) -> DataFrame:
+    """The greatest vertex count of the files: what decides which algorithms are feasible on all of them."""
+    return graphs.agg(F.coalesce(F.max("vertices"), F.lit(0)).alias("max_vertices"))
+
+
+def names_in(results: DataFrame, column: str) -> DataFrame:
+    """The distinct graphs, algorithms or languages of a result table, in order."""
+    return results.select(column).filter(F.col(column).isNotNull()).distinct().orderBy(column)
+
+
+def size_classes(classes: dict[str, DataFrame], quick: bool = False) -> DataFrame:
+    """The graphs of all size classes, with `size_class`; without the large ones if quick."""
+    kept = [g.withColumn("size_class", F.lit(c)) for c, g in classes.items() if not (quick and c == "large")]
+    return reduce(DataFrame.unionByName, kept)
 
 
 def numbered(jobs: DataFrame) -> DataFrame:
@@ -49,9 +90,37 @@ def numbered(jobs: DataFrame) -> DataFrame:
     return ranked(jobs, ["graph", "algo", "mode"], "job")
 
 
-def run(jobs: DataFrame, graphs: dict[str, DataFrame], runs: int = 3) -> DataFrame:
+@contextmanager
+def limited(spark: SparkSession, seconds: float | None):
+    """Spark jobs begun within are cancelled after so many seconds, which raises TimeoutError here."""
+    if seconds is None:
+        yield
+        return
+    group, late = f"limited-{uuid.uuid4().hex}", threading.Event()
+    spark.sparkContext.setJobGroup(group, "a job with a time limit", interruptOnCancel=True)
+
+    def stop() -> None:
+        late.set()
+        spark.sparkContext.cancelJobGroup(group)
+
+    timer = threading.Timer(seconds, stop)
+    timer.start()
+    try:
+        yield
+    except Exception as x:
+        if late.is_set():
+            raise TimeoutError(f"over {seconds} s") from x
+        raise
+    finally:
+        timer.cancel()
+        for key in ("spark.jobGroup.id", "spark.job.description", "spark.job.interruptOnCancel"):
+            spark.sparkContext.setLocalProperty(key, None)
+
+
+def run(jobs: DataFrame, graphs: dict[str, DataFrame], runs: int = 3, timeout: float | None = None) -> DataFrame:
     """A row for each job and run: matching_size, greedy_init_size, time_ms, validation, status. The jobs, a plan of a few
-    rows, are run one after another; each is a distributed job of its own, timed with its result written."""
+    rows, are run one after another; each is a distributed job of its own, timed with its result written. One that takes
+    more than `timeout` seconds is stopped, with status TIMEOUT."""
     from ..functions.storage import written
     from ..operators.greedy import greedy, greedy_bipartite
     from ..operators.matching import max_matching, max_matching_bipartite
@@ -64,10 +133,13 @@ def run(jobs: DataFrame, graphs: dict[str, DataFrame], runs: int = 3) -> DataFra
         for k in range(runs):
             began = time.perf_counter()
             try:
-                m, _ = written(max_matching_bipartite(e, j["mode"]) if two else max_matching(e, j["algo"], j["mode"]), "bench")
+                with limited(spark, timeout):
+                    m, _ = written(max_matching_bipartite(e, j["mode"]) if two else max_matching(e, j["algo"], j["mode"]), "bench")
                 ms = int(1000 * (time.perf_counter() - began))
                 v = validate(m, e, *(("l", "r") if two else ("u", "v"))).first()
                 out.append((j["graph"], j["algo"], j["mode"], k + 1, v["matching_size"], seed, ms, "PASS" if v["status"] == "PASSED" else "FAIL", "OK"))
+            except TimeoutError:
+                out.append((j["graph"], j["algo"], j["mode"], k + 1, None, seed, None, "NONE", "TIMEOUT"))
             except Exception as x:  # a failed run is a result
                 out.append((j["graph"], j["algo"], j["mode"], k + 1, None, seed, None, "NONE", type(x).__name__))
     return spark.createDataFrame(out, "graph string, algo string, mode string, run int, matching_size long, greedy_init_size long, time_ms long, validation string, status string")
@@ -104,6 +176,11 @@ def greedy_ratio(results: DataFrame) -> DataFrame:
     return results.withColumn("greedy_pct", percentage(F.col("greedy_init_size"), F.col("matching_size")))
 
 
+def stamped(results: DataFrame, when: str | None = None) -> DataFrame:
+    """Results with the time of their run, so that several runs can share a table (`latest_run` finds the last)."""
+    return results.withColumn("run_ts", F.lit(when or time.strftime("%Y%m%d_%H%M%S")))
+
+
 def latest_run(runs: DataFrame, key: str = "run_ts") -> DataFrame:
     return runs.join(F.broadcast(runs.agg(F.max(key).alias(key))), key, "left_semi")
 
@@ -113,7 +190,23 @@ def passed(results: DataFrame) -> bool:
     return flag_counts(results).first()["n_fail"] == 0 and cross_validation(results).filter("NOT consistent").isEmpty()
 
 
-def markdown(df: DataFrame, limit: int = 10_000) -> str:
-    """A small table (a report has a row for each job) as Markdown."""
-    rows = df.select(*(shown(F.col(f"`{c}`")).alias(c) for c in df.columns)).limit(limit).collect()
-    return "\n".join(["| " + " | ".join(df.columns) + " |", "|" + "---|" * len(df.columns), *("| " + " | ".join(r) + " |" for r in rows)])
+def markdown(df: DataFrame) -> str:
+    """A table of a report as Markdown. Its rows are one for each job of a plan, and come to the driver in parts."""
+    lines = ["| " + " | ".join(df.columns) + " |", "|" + "---|" * len(df.columns)]
+    rows = df.select(*(shown(F.col(f"`{c}`")).alias(c) for c in df.columns)).toLocalIterator()
+    return "\n".join([*lines, *("| " + " | ".join(r) + " |" for r in rows)])
+
+
+def report(results: DataFrame, base: str = "cpp", others: tuple[str, ...] = ("rust", "python")) -> str:
+    """The sections of a run's report, of rows (graph, algo, lang, mode, matching_size, median_ms, validation): counts of
+    verdicts, all results, warm starts' speed-ups, languages compared in the plain mode, sizes across programs."""
+    short = lambda df: df.withColumn("graph", short_name(F.col("graph")))
+    plain = results.filter(F.col("mode") == "none")
+    sections = (
+        ("Summary", flag_counts(results)),
+        ("Results", short(results.orderBy("graph", "algo", "lang", "mode"))),
+        ("Warm starts", short(speedups(results.filter(F.col("lang") == base)).orderBy("graph", "algo"))),
+        (f"Languages ({base} = 1.0)", short(language_ratios(plain, base, others).orderBy("graph", "algo"))),
+        ("Cross-validation", short(cross_validation(results).orderBy("graph"))),
+    )
+    return "\n\n".join(f"## {title}\n\n{markdown(df)}" for title, df in sections)

@@ -117,6 +117,12 @@ def _graphs(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([("road", "general", 5_000_000), ("mesh", "general", 200_000), ("jobs", "bipartite", 90_000)], "graph string, kind string, vertices long")
 
 
+def _sized(spark: SparkSession) -> DataFrame:
+    rows = [(f"{kind}_sparse_{tag}_{k}", kind, n + k) for kind in ("general", "bipartite") for tag, n in (("100k", 100_000), ("500k", 500_000), ("1m", 1_000_000)) for k in (2, 3, 4)]
+    return spark.createDataFrame(rows, "graph string, kind string, vertices long")
+
+
+SIZED_SQL = ", ".join(f"('{kind}_sparse_{tag}_{k}', '{kind}', {n + k})" for kind in ("general", "bipartite") for tag, n in (("100k", 100_000), ("500k", 500_000), ("1m", 1_000_000)) for k in (2, 3, 4))
 PLAN_SQL = """g(graph, kind, vertices) AS (VALUES ('road', 'general', 5000000), ('mesh', 'general', 200000), ('jobs', 'bipartite', 90000)),
 a(algo, kind, slow) AS (VALUES ('layered', 'bipartite', false), ('single_root', 'general', true), ('forest', 'general', true), ('forest_uf', 'general', true),
                                ('phased', 'general', false), ('phased_ddfs', 'general', false)),
@@ -282,6 +288,27 @@ SELECT graph, algo, base_ms, round(rs / nullif(base_ms, 0)::DOUBLE, 1) AS rs_rat
         lambda s, d: benchmark.flag_counts(results(s, d)),
         f"WITH {RESULTS_SQL} SELECT count(*) FILTER (validation = 'PASS') AS n_pass, count(*) FILTER (validation = 'FAIL') AS n_fail, count(*) FILTER (validation = 'NONE') AS n_none, count(*) FILTER (validation IS NULL) AS n_err FROM x",
     ),
+    "plan_languages": (
+        lambda s, d: benchmark.feasible(benchmark.plan(_graphs(s), langs=("cpp", "rust", "python"))).drop("cost"),
+        f"WITH {PLAN_SQL}, l(lang) AS (VALUES ('cpp'), ('rust'), ('python')) SELECT p.*, lang FROM p CROSS JOIN l WHERE (NOT slow OR vertices <= 200000) AND (lang <> 'python' OR vertices <= 2000000)",
+    ),
+    "plan_of_sizes": (
+        lambda s, d: benchmark.plan(_sized(s), algos=("phased", "layered"), sizes=("100k", "1m")).drop("cost"),
+        f"""WITH {PLAN_SQL}, z(graph, kind, vertices) AS (VALUES {SIZED_SQL})
+SELECT z.graph, kind, CAST(z.vertices AS BIGINT) AS vertices, algo, slow, mode FROM z JOIN a USING (kind) CROSS JOIN m
+WHERE algo IN ('phased', 'layered') AND regexp_extract(z.graph, '_([0-9]+[km]?)_[0-9]+$', 1) IN ('100k', '1m')""",
+    ),
+    "plan_max_vertices": (lambda s, d: benchmark.max_vertices(_sized(s)), f"WITH z(graph, kind, vertices) AS (VALUES {SIZED_SQL}) SELECT CAST(max(vertices) AS BIGINT) AS max_vertices FROM z"),
+    "size_classes": (
+        lambda s, d: benchmark.size_classes({c: _sized(s).filter(F.col("vertices") % 3 == k) for k, c in enumerate(("small", "medium", "large"))}, quick=True),
+        f"WITH z(graph, kind, vertices) AS (VALUES {SIZED_SQL}) SELECT graph, kind, CAST(vertices AS BIGINT) AS vertices, CASE vertices % 3 WHEN 0 THEN 'small' ELSE 'medium' END AS size_class FROM z WHERE vertices % 3 < 2",
+    ),
+    "short_names": (
+        lambda s, d: _sized(s).select("graph", report.short_name(F.col("graph")).alias("short"), report.size_tag(F.col("graph")).alias("tag")),
+        f"WITH z(graph, kind, vertices) AS (VALUES {SIZED_SQL}) SELECT graph, replace(replace(graph, 'general_sparse_', 'g_'), 'bipartite_sparse_', 'b_') AS short, regexp_extract(graph, '_([0-9]+[km]?)_[0-9]+$', 1) AS tag FROM z",
+    ),
+    "result_graphs": (lambda s, d: benchmark.names_in(results(s, d), "graph"), f"WITH {RESULTS_SQL} SELECT DISTINCT graph FROM x"),
+    "result_algorithms": (lambda s, d: benchmark.names_in(results(s, d), "algo"), f"WITH {RESULTS_SQL} SELECT DISTINCT algo FROM x"),
     "latest_run": (
         lambda s, d: benchmark.latest_run(results(s, d)).groupBy("graph", "algo").agg(F.count("*").alias("n"), F.min("time_ms").alias("best_ms")),
         f"WITH {RESULTS_SQL} SELECT graph, algo, count(*) AS n, min(time_ms) AS best_ms FROM x WHERE run_ts = (SELECT max(run_ts) FROM x) GROUP BY ALL",

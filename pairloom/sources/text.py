@@ -114,5 +114,6 @@ def read_results(spark: SparkSession, path: str) -> DataFrame:
     return raw.select(*(F.expr(f"try_cast(CASE WHEN {c} IN ('ERR', 'NA', 'TIMEOUT', '-') THEN NULL ELSE {c} END AS {kinds[c]})").alias(c) for c in names))
 
 
-def write_results(df: DataFrame, path: str) -> None:
-    df.write.mode("overwrite").csv(path, header=True)
+def write_results(df: DataFrame, path: str, mode: str = "overwrite") -> None:
+    """`append` adds the rows of a run to those of earlier ones."""
+    df.write.mode(mode).csv(path, header=True)
