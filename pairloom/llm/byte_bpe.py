@@ -299,7 +299,7 @@ def _dictionary(path: str, folders: int, block: int, shift: int) -> dict[str, by
     if store.get_file_info(at).type == fs.FileType.NotFound:
         return {}
     out: dict[str, bytes] = {}
-    for b in ds.dataset(at, filesystem=store, format="parquet").to_batches(columns=["word", "ids"], filter=ds.field("block") == block):
+    for b in ds.dataset(at, filesystem=store, format="parquet").to_batches(columns=["word", "ids"], filter=ds.field("block") == block, batch_readahead=1, fragment_readahead=1, use_threads=False):
         if b.num_rows:
             lists = b.column("ids")
             data, off = (lists.values.to_numpy().astype("<i4") + np.int32(shift)).tobytes(), (4 * lists.offsets.to_numpy().astype(np.int64)).tolist()

@@ -265,7 +265,7 @@ def _answer(path: str, folders: int, block: int, decode) -> np.ndarray:
     from .warc import open_fs
 
     store, at = open_fs(f"{path}/folder={folder_of(block, folders)}")
-    t = ds.dataset(at, filesystem=store, format="parquet").to_table(columns=["bucket", "vals"], filter=ds.field("block") == block)
+    t = ds.dataset(at, filesystem=store, format="parquet").to_table(columns=["bucket", "vals"], filter=ds.field("block") == block, batch_readahead=1, fragment_readahead=1, use_threads=False)
     rows = sorted(zip(t.column("bucket").to_pylist(), t.column("vals").to_pylist(), strict=True))
     return np.concatenate([decode(v) for _, v in rows])
 
