@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bm25, byte_bpe, katz_lm, mixing, near_dedup, pii, quality_classifier, quality_rules, token_output, warc
+from . import bm25, byte_bpe, impact_search, katz_lm, kmeans_tree, mixing, near_dedup, pii, quality_classifier, quality_rules, spelling, token_output, warc
 from .common import table
 
 
@@ -107,6 +107,68 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(table(spark, sf_dir, "pages"), min_bytes=0)
 
 
+def op11_kmeans_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Queries: every row whose id is divisible by 20, against all rows."""
+    return kmeans_tree.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, k=20)
+
+
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.spelling_variants(table(spark, sf_dir, "documents"))
+
+
+#: The remainders of CRC-32 for four bits, fixed values.
+CRC_NIBBLES = "[0, 498536548, 997073096, 651767980, 1994146192, 1802195444, 1303535960, 1342533948, 3988292384, 4027552580, 3604390888, 3412177804, 2607071920, 2262029012, 2685067896, 3183342108]"
+#: Pairs by their common rest: with one sign left out of the longer word, or out of both at the same place.
+OP12_SQL = f"""
+WITH RECURSIVE r AS (
+  SELECT coalesce(CAST(doc_id AS VARCHAR), '') AS d, unnest(regexp_extract_all(text, '[A-Za-z\u00C0-\u00FF]+')) AS run FROM documents),
+p AS (SELECT d, translate(run, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS run, count(*) AS c FROM r GROUP BY ALL),
+u AS (SELECT *, list_transform(string_split(d || ':' || run, ''), lambda s: unicode(s)) AS signs FROM p),
+b AS (SELECT d, run, c, flatten(list_transform(signs, lambda x: CASE WHEN x < 128 THEN [x] ELSE [192 + x // 64, 128 + x % 64] END)) AS bytes FROM u),
+h AS (SELECT run, c, xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT, list_transform(bytes, lambda x: x::BIGINT)), lambda s, x:
+        xor(({CRC_NIBBLES})[(xor(xor(s, x) >> 4, ({CRC_NIBBLES})[(xor(s, x) & 15) + 1]) & 15) + 1]::BIGINT, xor(xor(s, x) >> 4, ({CRC_NIBBLES})[(xor(s, x) & 15) + 1]) >> 4))) AS h FROM b),
+a AS (SELECT CASE WHEN h % 199 = 0 THEN run[1 : h % length(run)] || run[h % length(run) + 2 :] ELSE run END AS word, c FROM h),
+w AS (SELECT word, CAST(sum(c) AS BIGINT) AS n FROM a WHERE length(word) >= 6 GROUP BY word HAVING sum(c) >= 5),
+x AS (SELECT word, i, word[1 : i - 1] || word[i + 1 :] AS rest FROM (SELECT word, unnest(range(1, length(word) + 1)) AS i FROM w)),
+pairs AS (
+  SELECT DISTINCT x.word AS a, w.word AS b FROM x JOIN w ON w.word = x.rest
+  UNION SELECT x.word, y.word FROM x JOIN x y ON y.i = x.i AND y.rest = x.rest AND y.word <> x.word),
+near AS (SELECT a, b FROM pairs UNION SELECT b, a FROM pairs),
+k AS (SELECT near.a AS word, near.b AS form, w.n AS form_n, row_number() OVER (PARTITION BY near.a ORDER BY w.n DESC, near.b) AS i, count(*) OVER (PARTITION BY near.a) AS n_near
+      FROM near JOIN w ON w.word = near.b),
+f AS (SELECT w.word, w.n, coalesce(k.n_near, 0) AS n_near, CASE WHEN k.form_n >= 5 * w.n THEN k.form END AS form, CASE WHEN k.form_n >= 5 * w.n THEN k.form_n END AS form_n
+      FROM w LEFT JOIN k ON k.word = w.word AND k.i = 1),
+chain(word, root) AS (SELECT word, word FROM f UNION ALL SELECT chain.word, f.form FROM chain JOIN f ON f.word = chain.root WHERE f.form IS NOT NULL),
+ends AS (SELECT chain.word, chain.root FROM chain JOIN f ON f.word = chain.root WHERE f.form IS NULL)
+SELECT f.word, f.form, ends.root, f.n, f.n_near, f.form_n FROM f JOIN ends USING (word)
+"""
+
+
+def op13_impact_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Queries: every benchmark item, against all documents."""
+    return impact_search.top_k(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), k=20)
+
+
+OP13_SQL = """
+WITH t AS (
+  SELECT doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+')) AS term
+  FROM documents),
+p AS (SELECT doc_id, term, count(*) AS tf FROM t GROUP BY ALL),
+d AS (SELECT doc_id, CAST(sum(tf) AS BIGINT) AS n FROM p GROUP BY doc_id),
+c AS (SELECT count(*) AS docs, CAST(sum(n) AS BIGINT) AS total FROM d),
+w AS (SELECT term, CAST(floor(1000 * ln((2 * docs + 2)::DOUBLE / (2 * count(*) + 1))) AS BIGINT) AS w FROM p, c GROUP BY term, docs),
+m AS (SELECT doc_id, 100 - 25 + (25 * n * docs) // total AS m FROM d, c),
+q AS (
+  SELECT item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+')) AS term
+  FROM benchmark),
+s AS (
+  SELECT item_id, doc_id, CAST(sum(w * ((1000000000 * tf) // (1000 * tf + 12 * m))) AS BIGINT) AS score
+  FROM q JOIN w USING (term) JOIN p USING (term) JOIN m USING (doc_id) GROUP BY item_id, doc_id),
+r AS (SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank, doc_id, score FROM s WHERE score > 0)
+SELECT item_id, rank, doc_id, score FROM r WHERE rank <= 20
+"""
+
+
 QUERIES = {
     "op1_token_output": op1_token_output,
     "op2_near_dedup": op2_near_dedup,
@@ -118,5 +180,8 @@ QUERIES = {
     "op8_quality_classifier": op8_quality_classifier,
     "op9_bm25_search": op9_bm25_search,
     "op10_warc": op10_warc,
+    "op11_kmeans_tree": op11_kmeans_tree,
+    "op12_spelling_variants": op12_spelling_variants,
+    "op13_impact_search": op13_impact_search,
 }
-ORACLES: dict[str, str] = {"op5_mixing": OP5_SQL, "op9_bm25_search": OP9_SQL}
+ORACLES: dict[str, str] = {"op5_mixing": OP5_SQL, "op9_bm25_search": OP9_SQL, "op12_spelling_variants": OP12_SQL, "op13_impact_search": OP13_SQL}
