@@ -13,8 +13,10 @@ are packed in blocks of one leaf and a hash, about BLOCK entries each, however l
 
 Search: each query walks the tree with a priority queue of branches by distance to their centres; the nearest is taken next
 and opened down to a leaf, until the number of leaves is reached. Queries meet the blocks of their leaves by a join, and a
-block gives each its best k; Spark merges these. Scores are summed in double precision from the original vectors, by
-the same order for every vector.
+block gives each its best k; Spark merges these. The visits go in rounds, each with WIDEN times as many leaves as all before
+it, and a query passes its k-th score so far on to the next one, whose blocks only give what reaches it: so some
+k rows a round and query are merged, not k for every leaf. Scores are summed in double precision from the original vectors,
+by the same order for every vector.
 
 Calibration: the number of leaves is widened until the recall of CALIBRATION queries (those of the smallest hashes), measured
 against all entries by brute force, reaches `recall`. One pass finds it: the place, in a query's order of leaves, of
@@ -39,13 +41,12 @@ from pyspark.sql import functions as F
 
 from .common import remove, written
 
-SAMPLE, MIN_LEAF, BRANCH, LEAF, BLOCK, QUERY_BLOCK, CALIBRATION, RECALL, ROUNDS = 32768, 16, 8, 1024, 1024, 512, 256, 0.95, 12
-#: Queries whose best scores so far a task remembers, to pass on less; it forgets all and goes on beyond.
-REMEMBERED = 1 << 16
+SAMPLE, MIN_LEAF, BRANCH, LEAF, BLOCK, QUERY_BLOCK, CALIBRATION, RECALL, ROUNDS, WIDEN = 32768, 16, 8, 1024, 1024, 512, 256, 0.95, 12, 4
 LAST = np.iinfo(np.int64).max
 RESULT = "query_id long, rank int, vec_id long, score double"
 FOUND = "query long, entry long, low long, score double"
 PACKED = "leaf int, ids binary, lows binary, vectors binary"
+ASKED = "leaf int, q_ids binary, floors binary, q_vectors binary"
 
 
 @dataclass
@@ -149,18 +150,19 @@ def _matrix(col: pa.Array, width: int, longest: float = 0.0) -> np.ndarray:
     return out
 
 
-def _packer(width: int):
-    """The rows (id, low, vector) of a group as one, in bytes."""
+def _packer(width: int, names: tuple[str, str, str], kind: str):
+    """The rows (id, a number, vector) of a group as one, in bytes; vectors in their own precision."""
 
     def pack(t: pa.Table) -> pa.Table:
-        cells = {c: [t.column(c[:-1]).to_numpy().tobytes()] for c in ("ids", "lows")}
-        return pa.table({"leaf": pa.array([t.column("leaf")[0].as_py()], pa.int32()), **cells, "vectors": [_matrix(t.column("vector"), width).tobytes()]})
+        first, second = (t.column(c).to_numpy().tobytes() for c in t.column_names[-3:-1])
+        vectors = _matrix(t.column("vector"), width).astype(np.float32 if kind == "array<float>" else np.float64)
+        return pa.table({"leaf": pa.array([t.column("leaf")[0].as_py()], pa.int32())} | {c: [x] for c, x in zip(names, (first, second, vectors.tobytes()), strict=True)})
 
     return pack
 
 
-def _unpacked(row: dict, width: int, prefix: str = "") -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    return np.frombuffer(row[prefix + "ids"], np.int64), np.frombuffer(row[prefix + "lows"], np.int64), np.frombuffer(row[prefix + "vectors"]).reshape(-1, width + 1)
+def _vectors(data: bytes, width: int, kind: str) -> np.ndarray:
+    return np.frombuffer(data, np.float32 if kind == "array<float>" else np.float64).reshape(-1, width + 1).astype(np.float64)
 
 
 def _best(q: np.ndarray, x: np.ndarray, most: int, floor: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -175,21 +177,12 @@ def _best(q: np.ndarray, x: np.ndarray, most: int, floor: np.ndarray) -> tuple[n
     return i, j, np.concatenate([np.zeros(0), *exact])
 
 
-def _searcher(width: int, k: int):
+def _searcher(width: int, k: int, kind: str):
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        best: dict[int, np.ndarray] = {}
         for b in batches:
             for r in b.to_pylist():
-                queries, _, q = _unpacked(r, width, "q_")
-                ids, lows, x = _unpacked(r, width)
-                if len(best) > REMEMBERED:
-                    best = {}
-                floor = np.array([t[0] if (t := best.get(n)) is not None and len(t) > k else -np.inf for n in queries.tolist()])
-                i, j, score = _best(q, x, k + 1, floor)
-                ends = np.searchsorted(i, np.arange(len(q) + 1))
-                for n, s, e in zip(queries.tolist(), ends[:-1].tolist(), ends[1:].tolist(), strict=True):
-                    if e > s:
-                        best[n] = np.sort(np.append(best[n], score[s:e]) if n in best else score[s:e])[-k - 1 :]
+                queries, ids, lows = (np.frombuffer(r[c], np.int64) for c in ("q_ids", "ids", "lows"))
+                i, j, score = _best(_vectors(r["q_vectors"], width, kind), _vectors(r["vectors"], width, kind), k + 1, np.frombuffer(r["floors"]))
                 yield pa.RecordBatch.from_arrays([pa.array(queries[i]), pa.array(ids[j]), pa.array(lows[j]), pa.array(score)], names=["query", "entry", "low", "score"])
 
     return search
@@ -204,24 +197,26 @@ def _assigner(tree: Tree, width: int, longest: float):
     return assign
 
 
-def _visitor(tree: Tree, width: int, leaves: int):
+def _visitor(tree: Tree, width: int, seen: int, leaves: int):
+    """A row for each query and leaf, from the place `seen` on in its order to the place `leaves`."""
+
     def visit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for a in range(0, b.num_rows, 1024):
                 part = b.slice(a, 1024)
-                seen = tree.order(_matrix(part.column("vector"), width), leaves)
-                row = pa.array(np.repeat(np.arange(part.num_rows), [len(s) for s in seen]))
-                yield pa.RecordBatch.from_arrays([*(c.take(row) for c in part.columns), pa.array(np.concatenate(seen), pa.int32())], names=[*part.schema.names, "leaf"])
+                order = [s[seen:] for s in tree.order(_matrix(part.column("vector"), width), leaves)]
+                row = pa.array(np.repeat(np.arange(part.num_rows), [len(s) for s in order]))
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(order), pa.int32()), *(c.take(row) for c in part.columns)], names=["leaf", *part.schema.names])
 
     return visit
 
 
-def _truth(q: np.ndarray, width: int, k: int):
+def _truth(q: np.ndarray, width: int, k: int, kind: str):
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for r in b.to_pylist():
-                ids, lows, x = _unpacked(r, width)
-                i, j, score = _best(q, x, k + 1, np.full(len(q), -np.inf))
+                ids, lows = (np.frombuffer(r[c], np.int64) for c in ("ids", "lows"))
+                i, j, score = _best(q, _vectors(r["vectors"], width, kind), k + 1, np.full(len(q), -np.inf))
                 yield pa.RecordBatch.from_arrays([pa.array(i), pa.array(ids[j]), pa.array(lows[j]), pa.array(score), pa.array([r["leaf"]] * len(i), pa.int32())], names=["query", "entry", "low", "score", "leaf"])
 
     return search
@@ -268,7 +263,7 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 20, *, recall: float
     sizes = placed.groupBy("leaf").agg(F.count("*").alias("n"))  # a row a leaf
     salt = F.pmod(F.xxhash64("vector"), F.ceil(F.col("n") / BLOCK)).alias("salt")
     blocks = placed.join(F.broadcast(sizes), "leaf").select("leaf", salt, "id", "low", "vector")
-    blocks, blocks_path = written(blocks.groupBy("leaf", "salt").applyInArrow(_packer(width), PACKED), "blocks")
+    blocks, blocks_path = written(blocks.groupBy("leaf", "salt").applyInArrow(_packer(width, ("ids", "lows", "vectors"), kind), PACKED), "blocks")
 
     asking = rows.filter("asks AND vec_id IS NOT NULL").select("vec_id", "vector", "h").distinct()
     asking = asking.join(entries.select("h", "vector", F.col("entry").alias("own")), ["h", "vector"]).withColumn("query", F.monotonically_increasing_id())
@@ -278,22 +273,31 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 20, *, recall: float
     leaves, q = tree.leaves, _matrix(trial.column("vector"), width)
     if tree.leaves > 1 and len(q):
         # CALIBRATION queries, k + 1 rows each
-        truth = blocks.mapInArrow(_truth(q, width, k), FOUND + ", leaf int").withColumn("i", F.row_number().over(order)).filter(F.col("i") <= k + 1)
+        truth = blocks.mapInArrow(_truth(q, width, k, kind), FOUND + ", leaf int").withColumn("i", F.row_number().over(order)).filter(F.col("i") <= k + 1)
         near: list[list[int]] = [[] for _ in q]
         for r in truth.select("query", "i", "entry", "leaf").collect():
             if r["entry"] != trial.column("own")[r["query"]].as_py():
                 near[r["query"]].append(r["leaf"])
         leaves = calibrated(tree, q, near, recall)
-    visits = asking.select(F.col("query").alias("id"), F.lit(0).cast("long").alias("low"), "vector").mapInArrow(_visitor(tree, width, leaves), f"id long, low long, vector {kind}, leaf int")
-    packs = visits.withColumn("pack", F.pmod(F.xxhash64("id"), F.lit(max(1, -(-asking.count() // QUERY_BLOCK)))))
-    packs = packs.groupBy("leaf", "pack").applyInArrow(_packer(width), PACKED)
-    met = blocks.join(packs.select("leaf", *(F.col(c).alias("q_" + c) for c in ("ids", "lows", "vectors"))), "leaf")
     # of the best k + 1 entries at most one is the query's own, and each other has an id before those of all after it
-    found = met.mapInArrow(_searcher(width, k), FOUND).withColumn("i", F.row_number().over(order)).filter(F.col("i") <= k + 1)
+    best, best_path, packs, seen = spark.createDataFrame([], FOUND + ", i int"), None, max(1, -(-asking.count() // QUERY_BLOCK)), 0
+    while seen < leaves:
+        to = next(n for e in range(64) if (n := -(-leaves // WIDEN**e)) <= max(1, seen) * (WIDEN + 1) or n <= 3)
+        floor = best.filter(F.col("i") == k + 1).select("query", F.col("score").alias("floor"))
+        going = asking.select("query", "vector").join(floor, "query", "left").select(F.col("query").alias("id"), F.coalesce("floor", F.lit(float("-inf"))).alias("floor"), "vector")
+        going = going.mapInArrow(_visitor(tree, width, seen, to), f"leaf int, id long, floor double, vector {kind}").withColumn("pack", F.pmod(F.xxhash64("id"), F.lit(packs)))
+        asked = going.select("leaf", "pack", "id", "floor", "vector").groupBy("leaf", "pack").applyInArrow(_packer(width, ("q_ids", "floors", "q_vectors"), kind), ASKED)
+        found = best.drop("i").unionByName(blocks.join(asked, "leaf").mapInArrow(_searcher(width, k, kind), FOUND))
+        found, old = found.withColumn("i", F.row_number().over(order)).filter(F.col("i") <= k + 1), best_path
+        best, best_path = written(found, "best")
+        if old:
+            remove(spark, old)
+        seen = to
+    found = best
     wide = found.select("query", "entry", "score").join(entries.select("entry", "ids"), "entry").select("query", "entry", "score", F.explode("ids.vec_id").alias("vec_id"))
     wide = wide.join(asking.select("query", F.col("vec_id").alias("query_id"), "own"), "query").filter(~((F.col("entry") == F.col("own")) & F.col("vec_id").eqNullSafe(F.col("query_id"))))
     last = Window.partitionBy("query").orderBy(F.col("score").desc(), F.col("vec_id").asc_nulls_last())
     result, _ = written(wide.withColumn("rank", F.row_number().over(last).cast("int")).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score"), "nearest")
-    for path in (entries_path, placed_path, blocks_path, asking_path):
+    for path in (entries_path, placed_path, blocks_path, asking_path, best_path):
         remove(spark, path)
     return result
