@@ -37,3 +37,20 @@ def written(df: DataFrame, name: str, **options: str) -> tuple[DataFrame, str]:
     path = shared_path(spark, name)
     df.write.options(**{"compression": "zstd", **options}).parquet(path)
     return spark.read.schema(df.schema).parquet(path), path
+
+
+class Tables:
+    """The written tables of one computation, which go together once they are out of use."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.paths = spark, []
+
+    def write(self, df: DataFrame, name: str) -> DataFrame:
+        df, path = written(df, name)
+        self.paths.append(path)
+        return df
+
+    def drop(self) -> None:
+        for path in self.paths:
+            remove(self.spark, path)
+        self.paths = []

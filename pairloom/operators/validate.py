@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.storage import Tables, written
+from . import bipartite_rounds, general_rounds
 from .components import components
-from .matching import mates, mates_bipartite
+from .matching import mates, mates_bipartite, max_matching_bipartite
 
 
 def validate(matching: DataFrame, edges: DataFrame, left: str = "u", right: str = "v") -> DataFrame:
@@ -22,10 +24,12 @@ def validate(matching: DataFrame, edges: DataFrame, left: str = "u", right: str
     return size.crossJoin(missing).crossJoin(over).withColumn("status", status)
 
 
-def konig_certificate(edges: DataFrame, init: str = "greedy-md") -> DataFrame:
+def konig_certificate(edges: DataFrame, init: str = "greedy-md", kernel_edges: int | None = None) -> DataFrame:
     """One row: matching_size, cover_size, uncovered edges, gap. The cover is the left vertices that no alternating path from
-    a free left vertex reaches, and the right ones that one does; a cover of the matching's size proves both (Konig)."""
-    m = mates_bipartite(edges, init)
+    a free left vertex reaches, and the right ones that one does; a cover of the matching's size proves both (Konig).
+    kernel_edges: the matching is that of max_matching_bipartite, and the paths are searched by rounds over the whole graph,
+    so that no component needs a task of its own; without it, a kernel finds both in each component."""
+    m = mates_bipartite(edges, init) if kernel_edges is None else _mates_by_rounds(edges, init, kernel_edges)
     cover = m.filter("(side = 'left' AND NOT reached AND mate IS NOT NULL) OR (side = 'right' AND reached)")
     left, right = cover.filter("side = 'left'").select(F.col("id").alias("l")), cover.filter("side = 'right'").select(F.col("id").alias("r"))
     open_edges = edges.join(left, "l", "left_anti").join(right, "r", "left_anti").agg(F.count("*").alias("uncovered"))
@@ -33,10 +37,33 @@ def konig_certificate(edges: DataFrame, init: str = "greedy-md") -> DataFrame:
     return size.crossJoin(cover.agg(F.count("*").alias("cover_size"))).crossJoin(open_edges).withColumn("gap", F.col("cover_size") - F.col("matching_size"))
 
 
+def _mates_by_rounds(edges: DataFrame, init: str, kernel_edges: int) -> DataFrame:
+    """side, id, mate, reached of every vertex with an edge."""
+    tables = Tables(edges.sparkSession)
+    match = tables.write(max_matching_bipartite(edges, init, kernel_edges), "match")
+    pairs = match.select(F.lit("left").alias("side"), F.col("l").alias("id"), F.col("r").alias("mate")).unionByName(match.select(F.lit("right").alias("side"), F.col("r").alias("id"), F.col("l").alias("mate")))
+    seen = bipartite_rounds.reached(edges, match, tables).withColumn("reached", F.lit(True))
+    ids = edges.select(F.lit("left").alias("side"), F.col("l").alias("id")).unionByName(edges.select(F.lit("right").alias("side"), F.col("r").alias("id"))).distinct()
+    out = ids.join(pairs, ["side", "id"], "left").join(seen, ["side", "id"], "left").withColumn("reached", F.coalesce("reached", F.lit(False)))
+    out, _ = written(out, "mates")
+    tables.drop()
+    return out
+
+
+def tutte_berge_by_rounds(edges: DataFrame, init: str = "greedy-md") -> DataFrame:
+    """The certificate of the matching found by rounds over the whole graph; its barrier is what the last forest left odd."""
+    labels, _ = written(general_rounds.labels(general_rounds.forest_by_rounds(edges, init), edges), "labels")
+    return berge(edges, labels)
+
+
 def tutte_berge_certificate(edges: DataFrame, strategy: str = "phased", init: str = "greedy-md") -> DataFrame:
     """One row: matching_size, bound, gap. With A the odd vertices of the last search, bound = (n + |A| - odd components of
     the rest) / 2, which no matching exceeds (Berge)."""
-    m = mates(edges, strategy, init)
+    return berge(edges, mates(edges, strategy, init))
+
+
+def berge(edges: DataFrame, m: DataFrame) -> DataFrame:
+    """The certificate of a matching, from id, mate and label (odd: in the barrier) of all vertices."""
     a = m.filter("label = 'odd'").select("id")
     rest = m.join(a, "id", "left_anti").select("id")
     inner = edges.join(a, edges["u"] == a["id"], "left_anti").join(a, F.col("v") == a["id"], "left_anti")

@@ -70,6 +70,14 @@ def customer_orders(spark: SparkSession, sf_dir: str, shape: str) -> DataFrame:
     return path.unionByName(o.filter("next IS NULL AND i >= 3").select(F.col("hub").alias("u"), F.col("o_orderkey").alias("v")))
 
 
+def alternate_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A matching (u < v) of the paths and cycles of customer_orders: each customer's first and second order, third and fourth, ..."""
+    w = Window.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey")
+    o = load(spark, sf_dir, "orders").select("o_orderkey", F.row_number().over(w).alias("i"), F.lead("o_orderkey").over(w).alias("next"))
+    o = o.filter("next IS NOT NULL AND i % 2 = 1")
+    return o.select(F.least("o_orderkey", "next").alias("u"), F.greatest("o_orderkey", "next").alias("v"))
+
+
 def urgent_same_day(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Customers with large urgent orders of one day."""
     o = load(spark, sf_dir, "orders").filter("o_orderpriority = '1-URGENT' AND o_totalprice > 250000").select("o_orderdate", F.col("o_custkey").alias("u"))

@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import report
-from ..operators import bipartite_rounds, components, graph, greedy, matching, validate
+from ..functions.storage import Tables, written
+from ..operators import bipartite_rounds, components, disjoint, general_rounds, graph, greedy, levels, matching, validate
 from . import benchmark, fixtures
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -153,6 +154,48 @@ def _group_sql(expr: str) -> str:
     return f"WITH g AS (SELECT o_custkey, count(*) AS k FROM orders GROUP BY 1) SELECT CAST(sum({expr}) AS BIGINT) AS matching_size FROM g"
 
 
+def cycles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graph.normalise(fixtures.customer_orders(spark, sf_dir, "cycle"))
+
+
+def _proved(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Validation and the gap to the bound of one matching by rounds: together a proof that it is a largest one."""
+    e, _ = written(fixtures.urgent_same_day(spark, sf_dir), "edges")
+    forest = general_rounds.forest_by_rounds(e)
+    pairs = forest.match.filter("a < b").select(F.col("a").alias("u"), F.col("b").alias("v"))
+    return validate.validate(pairs, e).select("status", "missing_edges", "overused").crossJoin(validate.berge(e, general_rounds.labels(forest, e)).select("gap"))
+
+
+def _order_parts_apart(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A maximal set of orders that have no part in common, held against all orders."""
+    c = fixtures.order_parts(spark, sf_dir).select(F.col("l").alias("path"), F.col("r").alias("vertex"))
+    return disjoint.conflicts(c, disjoint.maximal_disjoint(c, Tables(spark))).drop("n_chosen")
+
+
+def _bridges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e, m = cycles(spark, sf_dir), fixtures.alternate_pairs(spark, sf_dir)
+    return levels.bridges_by_tenacity(e, m, levels.levels(e, m)[0])
+
+
+#: The cycles' orders by place i of k, the edges (m: matched), and the levels: on a cycle there are two ways from the free vertex.
+CYCLES_SQL = """w AS (SELECT o_orderkey AS id, o_custkey AS c, row_number() OVER s AS i, count(*) OVER (PARTITION BY o_custkey) AS k FROM orders
+      WINDOW s AS (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey)),
+e AS (SELECT least(x.id, y.id) AS u, greatest(x.id, y.id) AS v, x.k AS k, x.i % 2 = 1 AND x.i < x.k AS m FROM w x JOIN w y ON y.c = x.c AND y.i = x.i % x.k + 1 WHERE x.k >= 3 OR x.k = 2 AND x.i = 1)"""
+LEVELS_SQL = CYCLES_SQL + """,
+p(c, k, i, len, dir) AS (
+  SELECT c, k, i, 0, dir FROM w, (VALUES (1), (-1)) d(dir) WHERE k % 2 = 1 AND k >= 3 AND i = k
+  UNION ALL SELECT c, k, (i - 1 + dir + k) % k + 1, len + 1, dir FROM p WHERE len < k - 1),
+lv AS (SELECT id, CAST(min(len) FILTER (len % 2 = 0) AS BIGINT) AS even_level, CAST(min(len) FILTER (len % 2 = 1) AS BIGINT) AS odd_level FROM p JOIN w USING (c, k, i) GROUP BY id)"""
+BRIDGES_SQL = LEVELS_SQL + """,
+l AS (SELECT id, coalesce(even_level, 1000000) AS e, coalesce(odd_level, 1000000) AS o FROM lv),
+x AS (SELECT u, v, m, a.e AS eu, a.o AS ou, b.e AS ev, b.o AS ov FROM e JOIN l a ON a.id = u JOIN l b ON b.id = v),
+y AS (SELECT u, v, CASE WHEN m THEN ou + ov + 1 ELSE eu + ev + 1 END AS tenacity FROM x
+      WHERE NOT CASE WHEN m THEN ev = ou + 1 AND ev < ov OR eu = ov + 1 AND eu < ou ELSE ov = eu + 1 AND ov < ev OR ou = ev + 1 AND ou < eu END)
+SELECT u, v, tenacity, (tenacity - 1) // 2 AS bucket FROM y WHERE tenacity < 1000000"""
+CLIQUES_SQL = """k AS (SELECT c_custkey AS id, c_nationkey, c_mktsegment, count(*) OVER (PARTITION BY c_nationkey, c_mktsegment) AS k FROM customer),
+e AS (SELECT a.id AS u, b.id AS v, a.k FROM k a JOIN k b USING (c_nationkey, c_mktsegment) WHERE a.id < b.id)"""
+
+
 HALF = "WITH {g} SELECT count(DISTINCT x) // 2 AS matching_size FROM (SELECT u AS x FROM e UNION ALL SELECT v FROM e)"
 QUERIES: dict[str, tuple[Query, str | None]] = {
     "edges_canonical": (lambda s, d: graph.canonical(fixtures.consecutive_customers(s, d)), f"WITH {RAW} SELECT least(u, v) AS u, greatest(u, v) AS v FROM raw"),
@@ -245,6 +288,32 @@ SELECT CAST(coalesce(sum(least(c.n, s.n)), 0) AS BIGINT) AS matching_size FROM c
     },
     **{f"matching_{x.replace('-', '_')}_init": (lambda s, d, x=x: size(matching.max_matching(users(s, d), "phased", x)), HALF.format(g=G3)) for x in matching.INITS},
     "matching_sparse_components": (lambda s, d: size(matching.max_matching(fixtures.urgent_same_day(s, d))), None),
+    "matching_sparse_rounds": (_proved, "SELECT 'PASSED' AS status, 0::BIGINT AS missing_edges, 0::BIGINT AS overused, 0::BIGINT AS gap"),
+    "matching_general_rounds": (lambda s, d: size(general_rounds.matching_by_rounds(general(s, d))), HALF.format(g=G1)),
+    "matching_cycles_rounds": (lambda s, d: size(general_rounds.matching_by_rounds(cycles(s, d), "none")), _group_sql("k // 2")),
+    "matching_cliques_rounds": (
+        lambda s, d: size(general_rounds.matching_by_rounds(fixtures.cliques(s, d), "none")),
+        "WITH g AS (SELECT count(*) AS k FROM customer GROUP BY c_nationkey, c_mktsegment) SELECT CAST(sum(k // 2) AS BIGINT) AS matching_size FROM g",
+    ),
+    "tutte_berge_rounds": (lambda s, d: validate.tutte_berge_by_rounds(fixtures.urgent_same_day(s, d)).select("gap"), "SELECT 0::BIGINT AS gap"),
+    "konig_rounds": (
+        lambda s, d: validate.konig_certificate(fixtures.nested_customers(s, d), kernel_edges=0),
+        f"WITH {B6}{HALL.replace('SELECT CAST(coalesce(sum(m), 0) AS BIGINT) AS matching_size FROM nation_max', '')} SELECT CAST(sum(m) AS BIGINT) AS matching_size, CAST(sum(m) AS BIGINT) AS cover_size, 0::BIGINT AS uncovered, 0::BIGINT AS gap FROM nation_max",
+    ),
+    "greedy_md_rounds": (lambda s, d: greedy.greedy(fixtures.urgent_same_day(s, d), "greedy-md", tail=0), _rounds_sql(G6, False, BY_DEGREE)),
+    "greedy_bipartite_rounds": (lambda s, d: greedy.greedy_bipartite(fixtures.nested_customers(s, d), tail=0), _rounds_sql(B6, True, BY_ID_2)),
+    "greedy_md_bipartite_rounds": (lambda s, d: greedy.greedy_bipartite(fixtures.nested_customers(s, d), "greedy-md", tail=0), _rounds_sql(B6, True, BY_DEGREE_2)),
+    "contracted_cycles": (
+        lambda s, d: general_rounds.contracted_edges(general_rounds.search(e := cycles(s, d), fixtures.alternate_pairs(s, d)), e),
+        f"WITH {CYCLES_SQL} SELECT u, v, 1::BIGINT AS n FROM e WHERE k % 2 = 0",
+    ),
+    "contracted_cliques": (
+        lambda s, d: general_rounds.contracted_edges(general_rounds.forest_by_rounds(e := fixtures.cliques(s, d), "none"), e),
+        f"WITH {CLIQUES_SQL} SELECT u, v, 1::BIGINT AS n FROM e WHERE k % 2 = 0",
+    ),
+    "vertex_levels": (lambda s, d: levels.levels(cycles(s, d), fixtures.alternate_pairs(s, d))[0], f"WITH RECURSIVE {LEVELS_SQL} SELECT id, even_level, odd_level FROM lv"),
+    "bridges_by_tenacity": (_bridges, f"WITH RECURSIVE {BRIDGES_SQL}"),
+    "disjoint_paths": (_order_parts_apart, "SELECT count(DISTINCT l_orderkey) AS n_candidates, 0::BIGINT AS shared, 0::BIGINT AS addable FROM lineitem"),
     "konig_certificate": (
         lambda s, d: validate.konig_certificate(fixtures.nested_customers(s, d)),
         f"WITH {B6}{HALL.replace('SELECT CAST(coalesce(sum(m), 0) AS BIGINT) AS matching_size FROM nation_max', '')} SELECT CAST(sum(m) AS BIGINT) AS matching_size, CAST(sum(m) AS BIGINT) AS cover_size, 0::BIGINT AS uncovered, 0::BIGINT AS gap FROM nation_max",
