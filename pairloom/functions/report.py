@@ -23,11 +23,6 @@ def shown(value: Column, missing: str = "-") -> Column:
     return F.coalesce(value.cast("string"), F.lit(missing))
 
 
-def lower_median(value: Column) -> Column:
-    """The lower middle of the values, one that occurs."""
-    return F.get(F.sort_array(F.collect_list(value)), F.floor((F.count(value) - 1) / 2).cast("int"))
-
-
 def source_name(program: Column) -> Column:
     return F.translate(program, "-", "_")
 

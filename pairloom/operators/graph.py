@@ -71,18 +71,31 @@ def degree_histogram(edges: DataFrame) -> DataFrame:
 
 
 def adjacency(edges: DataFrame) -> DataFrame:
-    """id, neighbours (ascending). A vertex's list is one row, as everywhere where graphs are lists; use edges at scale."""
+    """id, neighbours (ascending). A vertex's list is one row, for graphs of bounded degree; `adjacency_chunks` has none."""
     return both_ways(edges).groupBy(F.col("u").alias("id")).agg(F.sort_array(F.collect_list("v")).alias("neighbours"))
 
 
-def csr_offsets(edges: DataFrame, chunk: int = 1 << 16) -> DataFrame:
-    """id, degree, start: degrees of all smaller ids. Ids are summed by chunk first, so that the running sum over the whole
-    graph runs over one row for each chunk, and the others over one chunk each."""
-    d = degrees(edges).withColumn("chunk", F.floor(F.col("id") / chunk))
-    sums = d.groupBy("chunk").agg(F.sum("degree").alias("s"))
-    base = sums.withColumn("base", F.coalesce(F.sum("s").over(Window.orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("s")
-    inner = Window.partitionBy("chunk").orderBy("id").rowsBetween(Window.unboundedPreceding, -1)
-    return d.join(base, "chunk").select("id", "degree", (F.col("base") + F.coalesce(F.sum("degree").over(inner), F.lit(0))).alias("start"))
+def adjacency_chunks(edges: DataFrame, size: int = 1 << 12) -> DataFrame:
+    """id, chunk, start, neighbours: each vertex's neighbours, ascending, in chunks of `size` numbered from 0; start is the place
+    of the chunk's first neighbour in the list of all. The places come from ranks over ranges of (id, neighbour), so a hub
+    of any degree is many rows, dealt over many tasks."""
+    at = ranked(both_ways(edges), ["u", "v"], "place")
+    first = at.groupBy("u").agg(F.min("place").alias("first"))
+    at = at.join(first, "u").select("u", "v", ((F.col("place") - F.col("first")) / size).cast("long").alias("chunk"), (F.col("place") - 1).alias("place"))
+    out = at.groupBy(F.col("u").alias("id"), "chunk").agg(F.min("place").alias("start"), F.sort_array(F.collect_list("v")).alias("neighbours"))
+    return out.select("id", "chunk", "start", "neighbours")
+
+
+def csr_offsets(edges: DataFrame) -> DataFrame:
+    """id, degree, start: degrees of all smaller ids, whatever their range. Vertices are dealt over partitions by ranges of ids;
+    the running sum goes over one row a partition, and within each over its own vertices."""
+    from ..functions.storage import written
+
+    d, _ = written(degrees(edges).repartitionByRange("id").withColumn("p", F.spark_partition_id()), "degrees")
+    sums = d.groupBy("p").agg(F.sum("degree").alias("s"))
+    base = sums.select("p", F.coalesce(F.sum("s").over(Window.orderBy("p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("base"))
+    inner = Window.partitionBy("p").orderBy("id").rowsBetween(Window.unboundedPreceding, -1)
+    return d.join(F.broadcast(base), "p").select("id", "degree", (F.col("base") + F.coalesce(F.sum("degree").over(inner), F.lit(0))).alias("start"))
 
 
 def ranked(df: DataFrame, keys: list[str], name: str = "rank") -> DataFrame:

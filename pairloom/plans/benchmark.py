@@ -11,7 +11,8 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.report import lower_median, percentage, ratio, short_name, shown, size_tag
+from ..functions.report import percentage, ratio, short_name, shown, size_tag
+from ..operators.quantiles import lower_medians
 
 #: strategy, kind of graph, bound of growth with vertices and edges, whether left out over SLOW_LIMIT vertices. The phased ones
 #: have no better bound than V E, but take many paths in a phase, and stay in plans of any size.
@@ -117,36 +118,90 @@ def limited(spark: SparkSession, seconds: float | None):
             spark.sparkContext.setLocalProperty(key, None)
 
 
-def run(jobs: DataFrame, graphs: dict[str, DataFrame], runs: int = 3, timeout: float | None = None) -> DataFrame:
-    """A row for each job and run: matching_size, greedy_init_size, time_ms, validation, status. The jobs, a plan of a few
-    rows, are run one after another; each is a distributed job of its own, timed with its result written. One that takes
-    more than `timeout` seconds is stopped, with status TIMEOUT."""
-    from ..functions.storage import written
+RUNS = "graph string, algo string, mode string, run int, matching_size long, greedy_init_size long, time_ms long, validation string, status string"
+
+
+def left_to_run(jobs: DataFrame, path: str | None, runs: int) -> DataFrame:
+    """The plan with a row for each of its runs, without those that the table at path has already."""
+    each = jobs.select("graph", "kind", "algo", "mode", F.explode(F.sequence(F.lit(1), F.lit(runs))).alias("run"))
+    done = results_at(jobs.sparkSession, path)
+    return each if done is None else each.join(done.select("graph", "algo", "mode", "run").distinct(), ["graph", "algo", "mode", "run"], "left_anti")
+
+
+def results_at(spark: SparkSession, path: str | None) -> DataFrame | None:
+    """The rows that runs have left at path, None before the first one."""
+    if path is None:
+        return None
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return spark.read.schema(RUNS).option("recursiveFileLookup", "true").parquet(path) if p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p) else None
+
+
+def _one(spark: SparkSession, j, e: DataFrame, timeout: float | None) -> tuple:
+    from ..functions.storage import remove, written
     from ..operators.greedy import greedy, greedy_bipartite
     from ..operators.matching import max_matching, max_matching_bipartite
     from ..operators.validate import validate
 
-    spark, out = jobs.sparkSession, []
-    for j in jobs.orderBy("graph", "algo", "mode").toLocalIterator():
-        e, two = graphs[j["graph"]], j["kind"] == "bipartite"
+    two, seed = j["kind"] == "bipartite", None
+    try:
         seed = None if j["mode"] == "none" else (greedy_bipartite if two else greedy)(e, j["mode"]).count()
-        for k in range(runs):
-            began = time.perf_counter()
-            try:
-                with limited(spark, timeout):
-                    m, _ = written(max_matching_bipartite(e, j["mode"]) if two else max_matching(e, j["algo"], j["mode"]), "bench")
-                ms = int(1000 * (time.perf_counter() - began))
-                v = validate(m, e, *(("l", "r") if two else ("u", "v"))).first()
-                out.append((j["graph"], j["algo"], j["mode"], k + 1, v["matching_size"], seed, ms, "PASS" if v["status"] == "PASSED" else "FAIL", "OK"))
-            except TimeoutError:
-                out.append((j["graph"], j["algo"], j["mode"], k + 1, None, seed, None, "NONE", "TIMEOUT"))
-            except Exception as x:  # a failed run is a result
-                out.append((j["graph"], j["algo"], j["mode"], k + 1, None, seed, None, "NONE", type(x).__name__))
-    return spark.createDataFrame(out, "graph string, algo string, mode string, run int, matching_size long, greedy_init_size long, time_ms long, validation string, status string")
+        began = time.perf_counter()
+        with limited(spark, timeout):
+            m, path = written(max_matching_bipartite(e, j["mode"]) if two else max_matching(e, j["algo"], j["mode"]), "bench")
+        ms = int(1000 * (time.perf_counter() - began))
+        v = validate(m, e, *(("l", "r") if two else ("u", "v"))).first()
+        remove(spark, path)
+        return (v["matching_size"], seed, ms, "PASS" if v["status"] == "PASSED" else "FAIL", "OK")
+    except TimeoutError:
+        return (None, seed, None, "NONE", "TIMEOUT")
+    except Exception as x:  # a failed run is a result
+        return (None, seed, None, "NONE", type(x).__name__)
+
+
+def run(jobs: DataFrame, graphs: dict[str, DataFrame], runs: int = 3, timeout: float | None = None, path: str | None = None, parallel: int = 1) -> DataFrame:
+    """A row for each job and run: matching_size, greedy_init_size, time_ms, validation, status. The jobs are those of a plan of a
+    few rows; each is a distributed job of its own, timed with its result written. One that takes more than `timeout`
+    seconds is stopped, with status TIMEOUT.
+
+    Each run's row is added to the table at `path` (one of the shared folder, if none is given) when it ends; what that
+    table has is not run again, so a stopped benchmark goes on where it ended. `parallel` jobs run at a time,
+    each in a scheduler pool of its own (fair, where spark.scheduler.mode is FAIR); times then count the others' load."""
+    from concurrent.futures import ThreadPoolExecutor
+    from queue import Queue
+
+    from pyspark import inheritable_thread_target
+
+    from ..functions.storage import shared_path
+
+    spark, path = jobs.sparkSession, path or shared_path(jobs.sparkSession, "runs")
+    pools: Queue = Queue()
+    for k in range(parallel):
+        pools.put(f"bench-{k}")
+
+    def work(j) -> None:
+        pool = pools.get()
+        spark.sparkContext.setLocalProperty("spark.scheduler.pool", pool)
+        try:
+            row = (j["graph"], j["algo"], j["mode"], j["run"], *_one(spark, j, graphs[j["graph"]], timeout))
+            # a folder for each row: appends to one folder at the same time would disturb each other
+            spark.createDataFrame([row], RUNS).coalesce(1).write.parquet(f"{path}/{uuid.uuid4().hex}")
+        finally:
+            spark.sparkContext.setLocalProperty("spark.scheduler.pool", None)
+            pools.put(pool)
+
+    todo = left_to_run(jobs, path, runs).orderBy("graph", "algo", "mode", "run").collect()
+    if parallel == 1:
+        for j in todo:
+            work(j)
+    else:
+        with ThreadPoolExecutor(parallel) as each:
+            list(each.map(inheritable_thread_target(spark)(work), todo))
+    done = results_at(spark, path)
+    return spark.createDataFrame([], RUNS) if done is None else done
 
 
 def medians(runs: DataFrame, *keys: str, value: str = "time_ms") -> DataFrame:
-    return runs.groupBy(*keys).agg(lower_median(F.col(value)).alias("median_ms"))
+    return lower_medians(runs, keys, value, "median_ms")
 
 
 def cross_validation(results: DataFrame, size: str = "matching_size") -> DataFrame:

@@ -8,8 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import report
-from ..functions.storage import Tables, written
+from ..functions.storage import Tables, shared_path, written
 from ..operators import bipartite_rounds, components, disjoint, general_rounds, graph, greedy, levels, matching, validate
+from ..sources import datasource, text
 from . import benchmark, fixtures
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -114,17 +115,19 @@ k AS (SELECT graph, algo, {key}, time_ms, row_number() OVER (PARTITION BY graph,
 med AS (SELECT graph, algo, {key}, time_ms AS median_ms FROM k WHERE i = (n + 1) // 2)"""
 
 
-def _graphs(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame([("road", "general", 5_000_000), ("mesh", "general", 200_000), ("jobs", "bipartite", 90_000)], "graph string, kind string, vertices long")
+def _graphs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Graphs to plan runs for, one a nation, of a kind, size and name that its customers give."""
+    c, k = fixtures.load(spark, sf_dir, "customer"), F.col("c_nationkey")
+    kind = F.when(k % 2 == 0, "general").otherwise("bipartite")
+    tag = F.when(k % 3 == 0, "100k").when(k % 3 == 1, "500k").otherwise("1m")
+    sizes = c.groupBy("c_nationkey").agg(F.sum(F.floor(F.abs("c_acctbal"))).cast("long").alias("vertices"))
+    return sizes.select(F.concat(kind, F.lit("_sparse_"), tag, F.lit("_"), k.cast("string")).alias("graph"), kind.alias("kind"), "vertices")
 
 
-def _sized(spark: SparkSession) -> DataFrame:
-    rows = [(f"{kind}_sparse_{tag}_{k}", kind, n + k) for kind in ("general", "bipartite") for tag, n in (("100k", 100_000), ("500k", 500_000), ("1m", 1_000_000)) for k in (2, 3, 4)]
-    return spark.createDataFrame(rows, "graph string, kind string, vertices long")
-
-
-SIZED_SQL = ", ".join(f"('{kind}_sparse_{tag}_{k}', '{kind}', {n + k})" for kind in ("general", "bipartite") for tag, n in (("100k", 100_000), ("500k", 500_000), ("1m", 1_000_000)) for k in (2, 3, 4))
-PLAN_SQL = """g(graph, kind, vertices) AS (VALUES ('road', 'general', 5000000), ('mesh', 'general', 200000), ('jobs', 'bipartite', 90000)),
+GRAPHS_SQL = """s AS (SELECT c_nationkey AS k, CAST(sum(floor(abs(c_acctbal))) AS BIGINT) AS vertices FROM customer GROUP BY 1),
+n AS (SELECT k, vertices, CASE WHEN k % 2 = 0 THEN 'general' ELSE 'bipartite' END AS kind, CASE k % 3 WHEN 0 THEN '100k' WHEN 1 THEN '500k' ELSE '1m' END AS tag FROM s),
+g AS (SELECT kind || '_sparse_' || tag || '_' || CAST(k AS VARCHAR) AS graph, kind, vertices FROM n)"""
+PLAN_SQL = GRAPHS_SQL + """,
 a(algo, kind, slow) AS (VALUES ('layered', 'bipartite', false), ('single_root', 'general', true), ('forest', 'general', true), ('forest_uf', 'general', true),
                                ('phased', 'general', false), ('phased_ddfs', 'general', false)),
 m(mode) AS (VALUES ('none'), ('greedy'), ('greedy-md')),
@@ -154,6 +157,14 @@ def _group_sql(expr: str) -> str:
     return f"WITH g AS (SELECT o_custkey, count(*) AS k FROM orders GROUP BY 1) SELECT CAST(sum({expr}) AS BIGINT) AS matching_size FROM g"
 
 
+def _half(spark: SparkSession, sf_dir: str) -> int:
+    """Half of the customers' ids: a bound that leaves rows out at every size."""
+    return fixtures.load(spark, sf_dir, "orders").agg(F.max("o_custkey")).first()[0] // 2
+
+
+HALF_SQL = "(SELECT max(o_custkey) // 2 FROM orders)"
+
+
 def cycles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.normalise(fixtures.customer_orders(spark, sf_dir, "cycle"))
 
@@ -177,6 +188,62 @@ def _bridges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return levels.bridges_by_tenacity(e, m, levels.levels(e, m)[0])
 
 
+def _edge_files(spark: SparkSession, sf_dir: str) -> str:
+    """The graph of consecutive customers as an edge list, in a folder and in one file."""
+    e, path = general(spark, sf_dir), shared_path(spark, "graph")
+    datasource.write_graph(e, path, n=e.agg(F.max("v")).first()[0] + 1, single=True)
+    return path
+
+
+def _read_back(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.format("edgelist").option("split", 1 << 14).load(_edge_files(spark, sf_dir) + ".txt")
+
+
+def _bipartite_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e, path = fixtures.part_suppliers(spark, sf_dir), shared_path(spark, "graph")
+    left, right = e.agg(F.max("l") + 1, F.max("r") + 1).first()
+    datasource.write_graph(e, path, sides=(left, right))
+    return spark.read.format("edgelist").options(kind="bipartite", split=1 << 16).load(path)
+
+
+def _file_headers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = _edge_files(spark, sf_dir) + ".txt"
+    return text.headers(spark, path).select("file", "n").join(text.header_mismatch(spark, path), "file").drop("file")
+
+
+def _matrix_files(spark: SparkSession, sf_dir: str) -> str:
+    """Customers and their orders as Matrix Market files, one a year: comments, a first line, then entries from 1."""
+    o = fixtures.load(spark, sf_dir, "orders").select(F.year("o_orderdate").alias("year"), (F.col("o_custkey") + 1).alias("a"), (F.col("o_orderkey") + 1).alias("b"))
+    head = o.groupBy("year").agg(F.max("a").alias("a"), F.max("b").alias("b"), F.count("*").alias("n"))
+    head = head.select("year", F.explode(F.array(F.struct(F.lit(0).alias("k"), F.lit("%%MatrixMarket matrix coordinate real general").alias("value")), F.struct(F.lit(1).alias("k"), F.concat_ws(" ", "a", "b", "n").alias("value")))).alias("x")).select("year", "x.*")
+    body = o.select("year", F.lit(2).alias("k"), F.concat_ws(" ", "a", "b", F.lit("0.5")).alias("value"))
+    path = shared_path(spark, "matrices")
+    head.unionByName(body).repartition("year").sortWithinPartitions("year", "k").drop("k").write.partitionBy("year").text(path)
+    return path
+
+
+def _matrix_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = text.read_edges(spark, _matrix_files(spark, sf_dir), "mtx")
+    return e.select(F.regexp_extract("file", r"year=(\d+)", 1).cast("int").alias("year"), "u", "v")
+
+
+def _logs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The results of a run as the programs' logs, and what is read from these."""
+    line = lambda head, c, tail="": F.concat(F.lit(head), F.col(c).cast("string"), F.lit(tail))
+    told = F.when(F.col("validation") == "PASS", "VALIDATION PASSED").when(F.col("validation") == "FAIL", "VALIDATION FAILED")
+    r = results(spark, sf_dir).select(F.concat_ws("\n", line("Matching size: ", "matching_size"), line("Time: ", "time_ms", " ms"), told).alias("value"))
+    return text.parse_logs(r).groupBy("size", "validation").agg(F.count("*").alias("n"), F.sum("time_ms").alias("time_ms"))
+
+
+def _result_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    r = results(spark, sf_dir)
+    names = [c.split() for c in text.RESULTS.split(", ")]
+    shown = {"matching_size": report.shown(F.col("matching_size"), "ERR"), "median_ms": F.when(F.col("time_ms") > 900, "TIMEOUT").otherwise(F.col("time_ms").cast("string")), "validation": report.shown(F.col("validation"), "NA")}
+    path = shared_path(spark, "results")
+    text.write_results(r.select(*((shown.get(c) if c in shown else F.col(c) if c in r.columns else F.lit("-")).alias(c) for c, _ in names)), path)
+    return text.read_results(spark, path).select("algo", "graph", "lang", "mode", "matching_size", "median_ms", "run1_ms", "validation")
+
+
 #: The cycles' orders by place i of k, the edges (m: matched), and the levels: on a cycle there are two ways from the free vertex.
 CYCLES_SQL = """w AS (SELECT o_orderkey AS id, o_custkey AS c, row_number() OVER s AS i, count(*) OVER (PARTITION BY o_custkey) AS k FROM orders
       WINDOW s AS (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey)),
@@ -201,11 +268,11 @@ QUERIES: dict[str, tuple[Query, str | None]] = {
     "edges_canonical": (lambda s, d: graph.canonical(fixtures.consecutive_customers(s, d)), f"WITH {RAW} SELECT least(u, v) AS u, greatest(u, v) AS v FROM raw"),
     "edges_no_loops": (lambda s, d: graph.without_loops(fixtures.consecutive_customers(s, d)), f"WITH {RAW} SELECT u, v FROM raw WHERE u <> v"),
     "edges_distinct": (general, f"WITH {G1} SELECT u, v FROM e"),
-    "edges_range_filtered": (lambda s, d: graph.in_range(general(s, d), 100), f"WITH {G1} SELECT u, v FROM e WHERE u BETWEEN 0 AND 99 AND v BETWEEN 0 AND 99"),
+    "edges_range_filtered": (lambda s, d: graph.in_range(general(s, d), _half(s, d)), f"WITH {G1} SELECT u, v FROM e WHERE u BETWEEN 0 AND {HALF_SQL} - 1 AND v BETWEEN 0 AND {HALF_SQL} - 1"),
     "edges_zero_based": (lambda s, d: graph.zero_based(fixtures.consecutive_customers(s, d)), f"WITH {RAW} SELECT u - 1 AS u, v - 1 AS v FROM raw"),
     "edges_dropped": (
-        lambda s, d: graph.dropped(fixtures.consecutive_customers(s, d), 100),
-        f"""WITH {RAW}, f AS (SELECT *, u NOT BETWEEN 0 AND 99 OR v NOT BETWEEN 0 AND 99 AS bad FROM raw),
+        lambda s, d: graph.dropped(fixtures.consecutive_customers(s, d), _half(s, d)),
+        f"""WITH {RAW}, f AS (SELECT *, u NOT BETWEEN 0 AND {HALF_SQL} - 1 OR v NOT BETWEEN 0 AND {HALF_SQL} - 1 AS bad FROM raw),
 k AS (SELECT count(*) AS kept FROM (SELECT DISTINCT least(u, v), greatest(u, v) FROM f WHERE NOT bad AND u <> v)),
 r AS (SELECT count(*) AS n_rows, count(*) FILTER (bad) AS out_of_range, count(*) FILTER (NOT bad AND u = v) AS loops FROM f)
 SELECT *, n_rows - out_of_range - loops - kept AS repeats FROM r, k""",
@@ -233,14 +300,36 @@ SELECT *, n_rows - out_of_range - loops - kept AS repeats FROM r, k""",
     ),
     "csr_offsets": (lambda s, d: graph.csr_offsets(general(s, d)), f"WITH {G1}, {DEG} SELECT id, degree, CAST(coalesce(sum(degree) OVER (ORDER BY id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS start FROM d"),
     "degree_order": (lambda s, d: graph.degree_order(general(s, d)), f"WITH {G1}, {DEG} SELECT id, degree, row_number() OVER (ORDER BY degree, id) AS rank FROM d"),
+    "adjacency_chunks": (
+        lambda s, d: graph.adjacency_chunks(general(s, d), 16).withColumn("neighbours", F.concat_ws(",", F.col("neighbours").cast("array<string>"))),
+        f"""WITH {G1}, {BOTH}, r AS (SELECT u, v, row_number() OVER (ORDER BY u, v) - 1 AS place, (row_number() OVER (PARTITION BY u ORDER BY v) - 1) // 16 AS chunk FROM t)
+SELECT u AS id, chunk, min(place) AS start, string_agg(CAST(v AS VARCHAR), ',' ORDER BY v) AS neighbours FROM r GROUP BY u, chunk""",
+    ),
+    "csr_sparse_ids": (
+        lambda s, d: graph.csr_offsets(graph.normalise(general(s, d).select((F.col("u") * 281474976710656 + F.col("u")).alias("u"), (F.col("v") * 281474976710656 + F.col("v")).alias("v")))),
+        f"""WITH {G1}, {DEG} SELECT CAST(id * 281474976710656 + id AS BIGINT) AS id, degree,
+       CAST(coalesce(sum(degree) OVER (ORDER BY id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS start FROM d""",
+    ),
+    "edge_list_files": (_read_back, f"WITH {G1} SELECT u, v FROM e"),
+    "edge_list_headers": (_file_headers, f"WITH {G1} SELECT max(v) + 1 AS n, count(*) AS n_edges, count(*) AS n_lines, false AS mismatch FROM e"),
+    "bipartite_files": (_bipartite_files, f"WITH {B3} SELECT l, r FROM e"),
+    "matrix_files": (_matrix_entries, "SELECT CAST(year(o_orderdate) AS INTEGER) AS year, o_custkey AS u, o_orderkey AS v FROM orders"),
+    "program_logs": (
+        _logs,
+        f"WITH {RESULTS_SQL} SELECT matching_size AS size, coalesce(validation, 'NONE') AS validation, count(*) AS n, CAST(sum(time_ms) AS BIGINT) AS time_ms FROM x GROUP BY ALL",
+    ),
+    "result_files": (
+        _result_files,
+        f"WITH {RESULTS_SQL} SELECT algo, graph, lang, mode, matching_size, CASE WHEN time_ms <= 900 THEN time_ms END AS median_ms, NULL::BIGINT AS run1_ms, validation FROM x",
+    ),
     "min_degree_neighbour": (
         lambda s, d: graph.min_degree_neighbour(general(s, d)),
         f"""WITH {G1}, {DEG}, k AS (SELECT t.u AS id, d.id AS neighbour, d.degree AS neighbour_degree, row_number() OVER (PARTITION BY t.u ORDER BY d.degree, d.id) AS i FROM t JOIN d ON d.id = t.v)
 SELECT id, neighbour, neighbour_degree FROM k WHERE i = 1""",
     ),
     "frontier_level1": (
-        lambda s, d: graph.frontier(e := fixtures.part_suppliers(s, d), e.filter("l < 50").select("l").distinct()),
-        f"WITH {B3} SELECT r, min(l) AS parent FROM e WHERE l < 50 GROUP BY r",
+        lambda s, d: graph.frontier(e := fixtures.part_suppliers(s, d), e.join(e.agg(F.min("r").alias("r")), "r", "left_semi").select("l")),
+        f"WITH {B3} SELECT r, min(l) AS parent FROM e WHERE l IN (SELECT l FROM e WHERE r = (SELECT min(r) FROM e)) GROUP BY r",
     ),
     "bfs_levels_bipartite": (
         lambda s, d: graph.bfs_levels(e := fixtures.nested_customers(s, d), e.groupBy().agg(F.min("l").alias("l"))),
@@ -334,11 +423,12 @@ SELECT CAST(coalesce(sum(least(c.n, s.n)), 0) AS BIGINT) AS matching_size FROM c
         .withColumnRenamed("matching_size", "greedy_size")
         .crossJoin(size(matching.max_matching_bipartite(e)))
         .withColumn("greedy_pct", report.percentage(F.col("greedy_size"), F.col("matching_size"))),
-        None,
+        f"""SELECT greedy_size, matching_size, round(100.0 * greedy_size / nullif(matching_size, 0), 2)::DOUBLE AS greedy_pct
+FROM (SELECT count(*) AS greedy_size FROM ({_rounds_sql(B6, True, BY_ID_2)})), (WITH {B6}{HALL})""",
     ),
-    "benchmark_plan": (lambda s, d: benchmark.plan(_graphs(s)).drop("cost"), f"WITH {PLAN_SQL} SELECT * FROM p"),
-    "plan_feasible": (lambda s, d: benchmark.feasible(benchmark.plan(_graphs(s))).drop("cost"), f"WITH {PLAN_SQL} SELECT * FROM p WHERE NOT slow OR vertices <= 200000"),
-    "plan_numbered": (lambda s, d: benchmark.numbered(benchmark.plan(_graphs(s))).drop("cost"), f"WITH {PLAN_SQL} SELECT *, row_number() OVER (ORDER BY graph, algo, mode) AS job FROM p"),
+    "benchmark_plan": (lambda s, d: benchmark.plan(_graphs(s, d)).drop("cost"), f"WITH {PLAN_SQL} SELECT * FROM p"),
+    "plan_feasible": (lambda s, d: benchmark.feasible(benchmark.plan(_graphs(s, d))).drop("cost"), f"WITH {PLAN_SQL} SELECT * FROM p WHERE NOT slow OR vertices <= 200000"),
+    "plan_numbered": (lambda s, d: benchmark.numbered(benchmark.plan(_graphs(s, d))).drop("cost"), f"WITH {PLAN_SQL} SELECT *, row_number() OVER (ORDER BY graph, algo, mode) AS job FROM p"),
     "run_median": (lambda s, d: benchmark.medians(results(s, d), "graph", "algo", "mode"), f"WITH {MEDIANS_SQL.format(key='mode')} SELECT graph, algo, mode, median_ms FROM med"),
     "speedup_pivot": (
         lambda s, d: benchmark.speedups(benchmark.medians(results(s, d), "graph", "algo", "mode")),
@@ -358,23 +448,22 @@ SELECT graph, algo, base_ms, round(rs / nullif(base_ms, 0)::DOUBLE, 1) AS rs_rat
         f"WITH {RESULTS_SQL} SELECT count(*) FILTER (validation = 'PASS') AS n_pass, count(*) FILTER (validation = 'FAIL') AS n_fail, count(*) FILTER (validation = 'NONE') AS n_none, count(*) FILTER (validation IS NULL) AS n_err FROM x",
     ),
     "plan_languages": (
-        lambda s, d: benchmark.feasible(benchmark.plan(_graphs(s), langs=("cpp", "rust", "python"))).drop("cost"),
+        lambda s, d: benchmark.feasible(benchmark.plan(_graphs(s, d), langs=("cpp", "rust", "python"))).drop("cost"),
         f"WITH {PLAN_SQL}, l(lang) AS (VALUES ('cpp'), ('rust'), ('python')) SELECT p.*, lang FROM p CROSS JOIN l WHERE (NOT slow OR vertices <= 200000) AND (lang <> 'python' OR vertices <= 2000000)",
     ),
     "plan_of_sizes": (
-        lambda s, d: benchmark.plan(_sized(s), algos=("phased", "layered"), sizes=("100k", "1m")).drop("cost"),
-        f"""WITH {PLAN_SQL}, z(graph, kind, vertices) AS (VALUES {SIZED_SQL})
-SELECT z.graph, kind, CAST(z.vertices AS BIGINT) AS vertices, algo, slow, mode FROM z JOIN a USING (kind) CROSS JOIN m
-WHERE algo IN ('phased', 'layered') AND regexp_extract(z.graph, '_([0-9]+[km]?)_[0-9]+$', 1) IN ('100k', '1m')""",
+        lambda s, d: benchmark.plan(_graphs(s, d), algos=("phased", "layered"), sizes=("100k", "1m")).drop("cost"),
+        f"""WITH {PLAN_SQL} SELECT * FROM p
+WHERE algo IN ('phased', 'layered') AND regexp_extract(graph, '_([0-9]+[km]?)_[0-9]+$', 1) IN ('100k', '1m')""",
     ),
-    "plan_max_vertices": (lambda s, d: benchmark.max_vertices(_sized(s)), f"WITH z(graph, kind, vertices) AS (VALUES {SIZED_SQL}) SELECT CAST(max(vertices) AS BIGINT) AS max_vertices FROM z"),
+    "plan_max_vertices": (lambda s, d: benchmark.max_vertices(_graphs(s, d)), f"WITH {GRAPHS_SQL} SELECT max(vertices) AS max_vertices FROM g"),
     "size_classes": (
-        lambda s, d: benchmark.size_classes({c: _sized(s).filter(F.col("vertices") % 3 == k) for k, c in enumerate(("small", "medium", "large"))}, quick=True),
-        f"WITH z(graph, kind, vertices) AS (VALUES {SIZED_SQL}) SELECT graph, kind, CAST(vertices AS BIGINT) AS vertices, CASE vertices % 3 WHEN 0 THEN 'small' ELSE 'medium' END AS size_class FROM z WHERE vertices % 3 < 2",
+        lambda s, d: benchmark.size_classes({c: _graphs(s, d).filter(F.col("vertices") % 3 == k) for k, c in enumerate(("small", "medium", "large"))}, quick=True),
+        f"WITH {GRAPHS_SQL} SELECT graph, kind, vertices, CASE vertices % 3 WHEN 0 THEN 'small' ELSE 'medium' END AS size_class FROM g WHERE vertices % 3 < 2",
     ),
     "short_names": (
-        lambda s, d: _sized(s).select("graph", report.short_name(F.col("graph")).alias("short"), report.size_tag(F.col("graph")).alias("tag")),
-        f"WITH z(graph, kind, vertices) AS (VALUES {SIZED_SQL}) SELECT graph, replace(replace(graph, 'general_sparse_', 'g_'), 'bipartite_sparse_', 'b_') AS short, regexp_extract(graph, '_([0-9]+[km]?)_[0-9]+$', 1) AS tag FROM z",
+        lambda s, d: _graphs(s, d).select("graph", report.short_name(F.col("graph")).alias("short"), report.size_tag(F.col("graph")).alias("tag")),
+        f"WITH {GRAPHS_SQL} SELECT graph, replace(replace(graph, 'general_sparse_', 'g_'), 'bipartite_sparse_', 'b_') AS short, regexp_extract(graph, '_([0-9]+[km]?)_[0-9]+$', 1) AS tag FROM g",
     ),
     "result_graphs": (lambda s, d: benchmark.names_in(results(s, d), "graph"), f"WITH {RESULTS_SQL} SELECT DISTINCT graph FROM x"),
     "result_algorithms": (lambda s, d: benchmark.names_in(results(s, d), "algo"), f"WITH {RESULTS_SQL} SELECT DISTINCT algo FROM x"),

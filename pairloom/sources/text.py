@@ -15,11 +15,14 @@ HEADER = "file string, n long, n_right long, n_edges long"
 
 
 def lines(spark: SparkSession, path: str) -> DataFrame:
-    """file, number (of the line in its file, from 0), fields. A file is read whole by one task, since its first line says
-    what the others mean, but in one stream; many files are many tasks."""
-    raw = spark.read.text(path, wholetext=False).select(F.input_file_name().alias("file"), "value", F.monotonically_increasing_id().alias("at"))
+    """file, number (0 for the first line that says what the others mean, below for those before it, above for all after),
+    fields, value. Spark splits large files; a line's place is the first byte of its split and its number in the task, which
+    ascend together within a file however splits are dealt to tasks."""
+    place = F.struct(F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("line"))
+    raw = spark.read.text(path, wholetext=False).select(F.col("_metadata.file_path").alias("file"), "value", place.alias("at"))
     first = raw.filter(F.length(F.trim("value")) > 0).filter(~F.col("value").startswith("%")).groupBy("file").agg(F.min("at").alias("first"))
-    return raw.join(first, "file").select("file", (F.col("at") - F.col("first")).alias("number"), F.split(F.trim("value"), r"\s+").alias("fields"), "value")
+    number = F.when(F.col("at") == F.col("first"), 0).when(F.col("at") < F.col("first"), -1).otherwise(1)
+    return raw.join(F.broadcast(first), "file").select("file", number.alias("number"), F.split(F.trim("value"), r"\s+").alias("fields"), "value")
 
 
 def headers(spark: SparkSession, path: str, kind: str = "general") -> DataFrame:

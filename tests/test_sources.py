@@ -66,3 +66,113 @@ def test_growing_graph(spark, tmp_path):
         q = growing.keep_edges(spark.readStream.schema(growing.EDGES).parquet(str(tmp_path / "in")), str(tmp_path / "g"), str(tmp_path / "c"))
         q.awaitTermination(120)
         assert growing.read_graph(spark, str(tmp_path / "g")).count() == k + 1
+
+
+def _pairs(df):
+    return sorted(tuple(r) for r in df.collect())
+
+
+@pytest.mark.parametrize("name", ["edgelist", "mtx"])
+def test_a_file_in_many_ranges_equals_one(spark, tmp_path, name):
+    datasource.register(spark)
+    body = [(i % 97, i * i % 1009) for i in range(700)]
+    head = "1009 700\n" if name == "edgelist" else "%%MatrixMarket\n% " + "c" * 90 + "\n\n1009 1009 700\n"
+    shift = int(name == "mtx")
+    lines = [f"{u + shift} {v + shift}" + " 0.5" * (name == "mtx") for u, v in body]
+    lines[100:100] = ["", "% within", "7"]
+    (tmp_path / "g").write_text(head + "\n".join(lines))  # no line end at the end
+    for split in (1 << 20, 1000, 100, 3):
+        df = spark.read.format(name).option("split", split).load(str(tmp_path / "g"))
+        assert _pairs(df) == sorted(body)
+    assert spark.read.format(name).option("split", 1000).load(str(tmp_path / "g")).rdd.getNumPartitions() >= 5
+
+
+def test_ranges_of_a_sorted_file_are_left_out(spark, tmp_path):
+    from pyspark.sql.datasource import GreaterThanOrEqual, LessThan
+
+    (tmp_path / "g").write_text("1000 1000\n" + "".join(f"{i} {i + 1}\n" for i in range(1000)))
+    reader = datasource.SortedReader({"path": str(tmp_path / "g"), "split": "500", "sorted": "true"}, 2, 0, "u")
+    every = len(reader.partitions())
+    list(reader.pushFilters([GreaterThanOrEqual(("u",), 300), LessThan(("u",), 350)]))
+    few = reader.partitions()
+    assert every > 15 and 1 <= len(few) <= 3
+    read = {u for p in few for b in reader.read(p) for u in b.column("u").to_pylist()}
+    assert set(range(300, 350)) <= read
+    datasource.register(spark)
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
+    try:
+        df = spark.read.format("edgelist").options(split=500, sorted="true").load(str(tmp_path / "g")).filter("u >= 300 AND u < 350")
+        assert _pairs(df) == [(i, i + 1) for i in range(300, 350)]
+    finally:
+        spark.conf.unset("spark.sql.python.filterPushdown.enabled")
+
+
+def test_a_wrong_first_line_fails_when_the_scan_is_planned(spark, tmp_path):
+    datasource.register(spark)
+    (tmp_path / "g").write_text("1 2 3\n0 1\n")
+    with pytest.raises(Exception, match="first line"):
+        spark.read.format("edgelist").load(str(tmp_path / "g")).collect()
+
+
+def test_graph_folder_and_single_file(spark, tmp_path):
+    datasource.register(spark)
+    e = spark.createDataFrame([(5, 6), (2, 3), (0, 1), (0, 4)], "u long, v long")
+    datasource.write_graph(e, str(tmp_path / "g"), n=7, single=True)
+    assert (tmp_path / "g.txt").read_text() == "7 4\n0 1\n0 4\n2 3\n5 6\n"
+    for path in ("g", "g.txt"):
+        assert _pairs(spark.read.format("edgelist").load(str(tmp_path / path))) == _pairs(e)
+    datasource.write_graph(e.limit(0), str(tmp_path / "g"), n=0)
+    assert spark.read.format("edgelist").load(str(tmp_path / "g")).count() == 0
+    assert not [f for f in (tmp_path / "g").iterdir() if f.name.startswith("_tmp")]
+    b = e.select("u", "v").toDF("l", "r")
+    datasource.write_graph(b, str(tmp_path / "b"), sides=(6, 7))
+    assert (tmp_path / "b" / "part-header").read_text() == "6 7 4\n"
+    assert _pairs(spark.read.format("edgelist").option("kind", "bipartite").load(str(tmp_path / "b"))) == _pairs(b)
+    with pytest.raises(Exception, match="graph already"):
+        e.write.format("edgelist").mode("append").option("n", 7).save(str(tmp_path / "b"))
+
+
+RETRIED = """
+import os, sys
+from pyspark import TaskContext
+from pyspark.sql import SparkSession
+sys.path.insert(0, sys.argv[2])
+from pairloom.sources import datasource, text
+spark = SparkSession.builder.master("local[2,4]").config("spark.ui.enabled", "false").config("spark.sql.shuffle.partitions", "4").getOrCreate()
+spark.sparkContext.setLogLevel("OFF")
+
+def shaky(batches):
+    for b in batches:
+        yield b
+        if TaskContext.get().attemptNumber() == 0 and TaskContext.get().partitionId() % 2 == 0:
+            raise RuntimeError("lost")
+
+datasource.register(spark)
+e = spark.range(0, 5000, 1, 4).selectExpr("id AS u", "id + 1 AS v").mapInArrow(shaky, "u long, v long")
+e.write.format("edgelist").mode("overwrite").options(n=5001, single="true").save(sys.argv[1] + "/g")
+m = text.header_mismatch(spark, sys.argv[1] + "/g.txt").first()
+names = sorted(os.listdir(sys.argv[1] + "/g"))
+print("RESULT", m.n_edges, m.n_lines, m.mismatch, spark.read.format("edgelist").load(sys.argv[1] + "/g").distinct().count(), sum(n.startswith("_tmp") for n in names))
+"""
+
+
+def test_failed_and_retried_tasks_leave_no_mismatch(tmp_path):
+    import subprocess
+    import sys
+    from pathlib import Path
+
+    run = subprocess.run([sys.executable, "-c", RETRIED, str(tmp_path), str(Path(__file__).resolve().parent.parent)], capture_output=True, text=True, timeout=180)
+    assert "RESULT 5000 5000 False 5000 0" in run.stdout, run.stderr[-2000:]
+
+
+def test_first_lines_are_found_in_files_that_spark_splits(spark, tmp_path):
+    (tmp_path / "a.txt").write_text("\n900 2000\n" + "".join(f"{i % 30} {i}\n" for i in range(2000)))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "1k")
+    spark.conf.set("spark.sql.files.openCostInBytes", "1")
+    try:
+        assert text.lines(spark, str(tmp_path / "a.txt")).select("file").rdd.getNumPartitions() > 4
+        m = text.header_mismatch(spark, str(tmp_path / "a.txt")).first()
+        assert (m.n_edges, m.n_lines, m.mismatch) == (2000, 2000, False)
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        spark.conf.unset("spark.sql.files.openCostInBytes")
