@@ -4,6 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -23,8 +26,28 @@ def shared_root(spark: SparkSession) -> str:
     return root
 
 
+_made: ContextVar[list[str] | None] = ContextVar("_made", default=None)
+
+
 def shared_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_root(spark)}/pairloom/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_root(spark)}/pairloom/{name}-{uuid.uuid4().hex}"
+    if (made := _made.get()) is not None:
+        made.append(path)
+    return path
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Removes, at its end, whatever was written to the shared folder within. A result is a plan over such tables, so it has to
+    be written or collected within, too."""
+    token = _made.set(made := [])
+    try:
+        yield
+    finally:
+        _made.reset(token)
+        for path in made:
+            for p in (path, path + ".txt"):  # the second: a graph file beside its folder
+                remove(spark, p)
 
 
 def remove(spark: SparkSession, path: str) -> None:

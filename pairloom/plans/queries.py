@@ -11,7 +11,7 @@ from ..functions import report
 from ..functions.storage import Tables, shared_path, written
 from ..operators import bipartite_rounds, components, disjoint, general_rounds, graph, greedy, levels, matching, validate
 from ..sources import datasource, text
-from . import benchmark, fixtures
+from . import benchmark, console, fixtures
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -244,6 +244,20 @@ def _result_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return text.read_results(spark, path).select("algo", "graph", "lang", "mode", "matching_size", "median_ms", "run1_ms", "validation")
 
 
+def _console(spark: SparkSession, sf_dir: str, sides: bool) -> DataFrame:
+    e, _ = written(fixtures.nested_customers(spark, sf_dir) if sides else general(spark, sf_dir), "edges")
+    m, _ = written(console.solve(e, "greedy", "phased", sides), "match")
+    return console.report(e, m, "greedy", sides=sides)
+
+
+def _console_sql(graph_sql: str, vertices: str, greedy_sql: str, best_sql: str) -> str:
+    return f"""WITH g AS (SELECT count(*) AS g FROM ({greedy_sql})), b AS (SELECT matching_size AS m FROM ({best_sql})), n AS ({graph_sql} SELECT {vertices} AS t)
+SELECT CAST(line AS INTEGER) AS line, text FROM (
+  SELECT 0 AS line, t AS text FROM n UNION ALL SELECT 1, 'Greedy init size: ' || g FROM g
+  UNION ALL SELECT 2, printf('Greedy/Final: %.2f%%', coalesce(round(100.0 * g / nullif(m, 0), 2), 100.0)::DOUBLE) FROM g, b
+  UNION ALL SELECT 3, 'Matching size: ' || m FROM b UNION ALL SELECT 4, 'Matched vertices: ' || 2 * m FROM b UNION ALL SELECT 5, 'VALIDATION PASSED')"""
+
+
 #: The cycles' orders by place i of k, the edges (m: matched), and the levels: on a cycle there are two ways from the free vertex.
 CYCLES_SQL = """w AS (SELECT o_orderkey AS id, o_custkey AS c, row_number() OVER s AS i, count(*) OVER (PARTITION BY o_custkey) AS k FROM orders
       WINDOW s AS (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey)),
@@ -385,6 +399,14 @@ SELECT CAST(coalesce(sum(least(c.n, s.n)), 0) AS BIGINT) AS matching_size FROM c
         "WITH g AS (SELECT count(*) AS k FROM customer GROUP BY c_nationkey, c_mktsegment) SELECT CAST(sum(k // 2) AS BIGINT) AS matching_size FROM g",
     ),
     "tutte_berge_rounds": (lambda s, d: validate.tutte_berge_by_rounds(fixtures.urgent_same_day(s, d)).select("gap"), "SELECT 0::BIGINT AS gap"),
+    "console_report": (
+        lambda s, d: _console(s, d, False),
+        _console_sql(f"WITH {G1}", "'Graph: ' || (SELECT count(DISTINCT x) FROM (SELECT u AS x FROM e UNION ALL SELECT v FROM e)) || ' vertices, ' || (SELECT count(*) FROM e) || ' edges'", _rounds_sql(G1, False, BY_ID), HALF.format(g=G1)),
+    ),
+    "console_report_bipartite": (
+        lambda s, d: _console(s, d, True),
+        _console_sql(f"WITH {B6}", "(SELECT 'Graph: ' || count(DISTINCT l) || ' left, ' || count(DISTINCT r) || ' right, ' || count(*) || ' edges' FROM e)", _rounds_sql(B6, True, BY_ID_2), f"WITH {B6}{HALL}"),
+    ),
     "konig_rounds": (
         lambda s, d: validate.konig_certificate(fixtures.nested_customers(s, d), kernel_edges=0),
         f"WITH {B6}{HALL.replace('SELECT CAST(coalesce(sum(m), 0) AS BIGINT) AS matching_size FROM nation_max', '')} SELECT CAST(sum(m) AS BIGINT) AS matching_size, CAST(sum(m) AS BIGINT) AS cover_size, 0::BIGINT AS uncovered, 0::BIGINT AS gap FROM nation_max",
