@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.storage import written
+from ..functions.storage import remove, written
 from . import kernels
 from .components import components
 
@@ -110,10 +110,11 @@ def max_matching_bipartite(edges: DataFrame, init: str = "greedy-md", kernel_edg
     from .bipartite_rounds import matching_by_rounds
 
     parts, _ = written(_two_sided(edges), "parts")
-    sizes = parts.groupBy("comp").agg(F.count("*").alias("n"))
-    large = sizes.filter(F.col("n") > kernel_edges).select("comp")
-    small = _by_buckets(parts.join(large, "comp", "left_anti"), _layered(init), "comp long, side string, id long, mate long, reached boolean")
+    large, path = written(parts.groupBy("comp").agg(F.count("*").alias("n")).filter(F.col("n") > kernel_edges).select("comp"), "large")
+    rounds = not large.isEmpty()
+    if not rounds:
+        remove(edges.sparkSession, path)
+    rest = parts.join(large, "comp", "left_anti") if rounds else parts
+    small = _by_buckets(rest, _layered(init), "comp long, side string, id long, mate long, reached boolean")
     out = small.filter("side = 'left' AND mate IS NOT NULL").select(F.col("id").alias("l"), F.col("mate").alias("r"))
-    if large.isEmpty():
-        return out
-    return out.unionByName(matching_by_rounds(parts.join(large, "comp", "left_semi").select("l", "r"), init))
+    return out.unionByName(matching_by_rounds(parts.join(large, "comp", "left_semi").select("l", "r"), init)) if rounds else out
