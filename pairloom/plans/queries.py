@@ -232,7 +232,7 @@ def _logs(spark: SparkSession, sf_dir: str) -> DataFrame:
     line = lambda head, c, tail="": F.concat(F.lit(head), F.col(c).cast("string"), F.lit(tail))
     told = F.when(F.col("validation") == "PASS", "VALIDATION PASSED").when(F.col("validation") == "FAIL", "VALIDATION FAILED")
     r = results(spark, sf_dir).select(F.concat_ws("\n", line("Matching size: ", "matching_size"), line("Time: ", "time_ms", " ms"), told).alias("value"))
-    return text.parse_logs(r).groupBy("size", "validation").agg(F.count("*").alias("n"), F.sum("time_ms").alias("time_ms"))
+    return text.parse_logs(r).groupBy(report.shown(F.col("size")).alias("size"), "validation").agg(F.count("*").alias("n"), F.sum("time_ms").alias("time_ms"))
 
 
 def _result_files(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -241,7 +241,8 @@ def _result_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     shown = {"matching_size": report.shown(F.col("matching_size"), "ERR"), "median_ms": F.when(F.col("time_ms") > 900, "TIMEOUT").otherwise(F.col("time_ms").cast("string")), "validation": report.shown(F.col("validation"), "NA")}
     path = shared_path(spark, "results")
     text.write_results(r.select(*((shown.get(c) if c in shown else F.col(c) if c in r.columns else F.lit("-")).alias(c) for c, _ in names)), path)
-    return text.read_results(spark, path).select("algo", "graph", "lang", "mode", "matching_size", "median_ms", "run1_ms", "validation")
+    back = text.read_results(spark, path)
+    return back.select("algo", "graph", "lang", "mode", *(report.shown(F.col(c)).alias(c) for c in ("matching_size", "median_ms", "run1_ms", "validation")))
 
 
 def _console(spark: SparkSession, sf_dir: str, sides: bool) -> DataFrame:
@@ -330,11 +331,11 @@ SELECT u AS id, chunk, min(place) AS start, string_agg(CAST(v AS VARCHAR), ',' O
     "matrix_files": (_matrix_entries, "SELECT CAST(year(o_orderdate) AS INTEGER) AS year, o_custkey AS u, o_orderkey AS v FROM orders"),
     "program_logs": (
         _logs,
-        f"WITH {RESULTS_SQL} SELECT matching_size AS size, coalesce(validation, 'NONE') AS validation, count(*) AS n, CAST(sum(time_ms) AS BIGINT) AS time_ms FROM x GROUP BY ALL",
+        f"WITH {RESULTS_SQL} SELECT coalesce(CAST(matching_size AS VARCHAR), '-') AS size, coalesce(validation, 'NONE') AS validation, count(*) AS n, CAST(sum(time_ms) AS BIGINT) AS time_ms FROM x GROUP BY ALL",
     ),
     "result_files": (
         _result_files,
-        f"WITH {RESULTS_SQL} SELECT algo, graph, lang, mode, matching_size, CASE WHEN time_ms <= 900 THEN time_ms END AS median_ms, NULL::BIGINT AS run1_ms, validation FROM x",
+        f"WITH {RESULTS_SQL} SELECT algo, graph, lang, mode, coalesce(CAST(matching_size AS VARCHAR), '-') AS matching_size, CASE WHEN time_ms <= 900 THEN CAST(time_ms AS VARCHAR) ELSE '-' END AS median_ms, '-' AS run1_ms, coalesce(validation, '-') AS validation FROM x",
     ),
     "min_degree_neighbour": (
         lambda s, d: graph.min_degree_neighbour(general(s, d)),
@@ -422,7 +423,10 @@ SELECT CAST(coalesce(sum(least(c.n, s.n)), 0) AS BIGINT) AS matching_size FROM c
         lambda s, d: general_rounds.contracted_edges(general_rounds.forest_by_rounds(e := fixtures.cliques(s, d), "none"), e),
         f"WITH {CLIQUES_SQL} SELECT u, v, 1::BIGINT AS n FROM e WHERE k % 2 = 0",
     ),
-    "vertex_levels": (lambda s, d: levels.levels(cycles(s, d), fixtures.alternate_pairs(s, d))[0], f"WITH RECURSIVE {LEVELS_SQL} SELECT id, even_level, odd_level FROM lv"),
+    "vertex_levels": (
+        lambda s, d: levels.levels(cycles(s, d), fixtures.alternate_pairs(s, d))[0].fillna(-1),
+        f"WITH RECURSIVE {LEVELS_SQL} SELECT id, coalesce(even_level, -1) AS even_level, coalesce(odd_level, -1) AS odd_level FROM lv",
+    ),
     "bridges_by_tenacity": (_bridges, f"WITH RECURSIVE {BRIDGES_SQL}"),
     "disjoint_paths": (_order_parts_apart, "SELECT count(DISTINCT l_orderkey) AS n_candidates, 0::BIGINT AS shared, 0::BIGINT AS addable FROM lineitem"),
     "konig_certificate": (
