@@ -22,7 +22,7 @@ def lines(spark: SparkSession, path: str) -> DataFrame:
     raw = spark.read.text(path, wholetext=False).select(F.col("_metadata.file_path").alias("file"), "value", place.alias("at"))
     first = raw.filter(F.length(F.trim("value")) > 0).filter(~F.col("value").startswith("%")).groupBy("file").agg(F.min("at").alias("first"))
     number = F.when(F.col("at") == F.col("first"), 0).when(F.col("at") < F.col("first"), -1).otherwise(1)
-    return raw.join(F.broadcast(first), "file").select("file", number.alias("number"), F.split(F.trim("value"), r"\s+").alias("fields"), "value")
+    return raw.join(first, "file").select("file", number.alias("number"), F.split(F.trim("value"), r"\s+").alias("fields"), "value")
 
 
 def headers(spark: SparkSession, path: str, kind: str = "general") -> DataFrame:
